@@ -4,8 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash
-from ._runtime import table
+from . import exact_dedup, language_id, packing, quality, simhash, toxicity
+from ._runtime import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = language_id.train_crf(language_id.training_rows(docs, ~apart))
+    return language_id.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~apart)
+    return quality.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,4 +32,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_packing, op9_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~apart)
+    return toxicity.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_dedup, op8_packing, op9_simhash, op10_toxicity)}
