@@ -53,16 +53,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # No text is left here: only groups of two rows and more, some dozens of bytes each. The checkpoint cuts
     # the lineage and lets the join below deal both of its sides itself, so that AQE can split a hot digest.
     groups = checkpoint(by_digest.where((F.col("_size") > 1) | (F.col("_texts") > 1)))
-    out = rows.join(groups, "_digest", "left")
+    shared_digests = not groups.where(F.col("_texts") > 1).isEmpty()
+    # full texts go through the last shuffle only where a digest stands for several of them
+    named = rows.select("_id", "_digest", F.sha2("_text", 256).alias("text_sha256"), *["_text"] * shared_digests)
+    out = named.join(groups, "_digest", "left")
     single = F.col("_size").isNull()
     keep, size = F.when(single, F.col("_id")).otherwise(F.col("_keep")), F.coalesce("_size", F.lit(1).cast("long"))
-    if not groups.where(F.col("_texts") > 1).isEmpty():
+    if shared_digests:
         shared = checkpoint(texts.join(groups.where(F.col("_texts") > 1).select("_digest"), "_digest", "left_semi"))
         shared = shared.select(F.col("_digest").alias("_d"), F.col("_text").alias("_t"), F.col("_keep").alias("_k"), F.col("_size").alias("_s"))
         out = out.join(shared, (F.col("_digest") == F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
         several = F.coalesce(F.col("_texts") > 1, F.lit(False))
         keep, size = F.when(several, F.col("_k")).otherwise(keep), F.when(several, F.col("_s")).otherwise(size)
-    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.sha2("_text", 256).alias("text_sha256"))
+    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
