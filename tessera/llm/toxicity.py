@@ -2,8 +2,8 @@
 
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the whole word, so a
 misspelt word shares most of its vector with the words it resembles. A text is read in half-overlapping windows
-of WINDOW words; a window's vector is the mean of its words' vectors and goes through the softmax. The text's
-score is its most toxic window's, so that one passage in a very long text counts as much as in a short one.
+of WINDOW words; a window's vector is the mean of its words' vectors and goes through the softmax. A word that
+came up less than WINDOW words before counts as a zero vector, so that repetition says nothing. The text's score is its most toxic window's, so that one passage in a very long text counts as much as in a short one.
 The first training epochs average over whole texts, the later ones follow each text's most toxic window.
 """
 
@@ -38,6 +38,16 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, base[owner] + counts[owner]), owner
 
 
+def _fresh(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """True where a word was not among the WINDOW - 1 words before it in its text."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((np.arange(len(words)), words, owner))
+    again = (words[order][1:] == words[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (np.diff(order) < WINDOW)
+    fresh = np.ones(len(words), bool)
+    fresh[order[1:][again]] = False
+    return fresh
+
+
 def _words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     words, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -68,7 +78,7 @@ class SubwordModel:
         margins = np.zeros(0)
         if words:
             rows, table = cache.lookup(words)
-            margins = table[rows]
+            margins = np.where(_fresh(rows, counts), table[rows], 0.0)
         start, end, owner = _windows(counts)
         upto = np.concatenate(([0.0], np.cumsum(margins)))
         mean = (upto[end] - upto[start]) / np.maximum(1, end - start)
@@ -106,7 +116,8 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int = 8, whole: int = 2,
             live, where = np.unique(buckets, return_inverse=True)
             vectors = model.embeddings[live]
             margin = np.einsum("bd,d->b", vectors, slope)
-            margins = (np.add.reduceat(margin[where], np.cumsum(sizes[used]) - sizes[used]) / sizes[used])[back]
+            fresh = _fresh(tokens, counts)
+            margins = np.where(fresh, (np.add.reduceat(margin[where], np.cumsum(sizes[used]) - sizes[used]) / sizes[used])[back], 0.0)
             upto = np.concatenate(([0.0], np.cumsum(margins)))
             base = np.cumsum(counts) - counts
             if epoch < whole:
@@ -123,7 +134,7 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int = 8, whole: int = 2,
             delta = np.zeros(len(tokens) + 1)
             np.add.at(delta, first, g / n)
             np.subtract.at(delta, last, g / n)
-            by_word = np.bincount(back, weights=np.cumsum(delta)[:-1], minlength=len(used)) / sizes[used]
+            by_word = np.bincount(back, weights=np.cumsum(delta)[:-1] * fresh, minlength=len(used)) / sizes[used]
             pull = np.bincount(where, weights=np.repeat(by_word, sizes[used]), minlength=len(live))
             g_slope = np.einsum("b,bd->d", pull, vectors)
             g_softmax = np.stack([-g_slope, g_slope], axis=1)
