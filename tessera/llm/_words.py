@@ -54,38 +54,60 @@ def char_ngrams(words: Sequence[str], low: int, high: int, bits: int) -> tuple[n
 class WordCache(dict):
     """word -> row number; rows are computed for all new words of a batch at once.
 
-    Holds at most about ``limit`` words: when it is full it starts anew before the next batch, so that a
-    worker's memory does not follow the vocabulary. Values depend on the word alone, never on the cache.
+    Holds at most about ``limit`` words and 40 characters for each, so that a worker's memory does not follow
+    the vocabulary. When it is full, the words met more than once stay (at most half of the limit, the most
+    used first) and the others go. Values depend on the word alone, never on the cache.
     """
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list], np.ndarray], limit: int = 400_000, kept: Callable[[np.ndarray], np.ndarray] = lambda rows: rows):
+        """``kept``: gets the rows that stay and returns what they become."""
         super().__init__()
-        self.compute, self.limit, self.new = compute, limit, []
+        self.compute, self.limit, self.kept, self.new, self.size = compute, limit, kept, [], 0
         self.rows: np.ndarray | None = None
+        self.uses = np.zeros(0, np.int64)
         self.filled = 0
 
     def __missing__(self, word):
         self[word] = row = len(self)
         self.new.append(word)
+        self.size += len(word)
         return row
 
+    def _shrink(self) -> None:
+        uses = self.uses[: self.filled]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: self.limit // 2]])
+        words = list(self)
+        words = [words[i] for i in keep.tolist()]
+        if sum(map(len, words)) > 20 * self.limit:
+            keep, words = keep[:0], []
+        self.clear()
+        self.update(zip(words, range(len(words)), strict=True))
+        rows = self.kept(self.rows[keep])
+        self.rows[: len(rows)], self.filled, self.size = rows, len(rows), sum(map(len, words))
+        self.uses[: len(rows)] = 0
+        self.uses[len(rows) :] = 0
+
     def lookup(self, words: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of ``words`` and the table of rows."""
-        if len(self) > self.limit:
-            self.clear()
-            self.filled, self.rows = 0, None
+        if len(self) > self.limit or self.size > 40 * self.limit:
+            self._shrink()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new or self.rows is None:
             fresh = self.compute(self.new)
+            need = self.filled + len(fresh)
             if self.rows is None:
-                self.rows = np.empty((max(1024, 2 * len(fresh)), *fresh.shape[1:]), fresh.dtype)
-            if self.filled + len(fresh) > len(self.rows):
-                grown = np.empty((2 * (self.filled + len(fresh)), *fresh.shape[1:]), fresh.dtype)
+                self.rows = np.empty((0, *fresh.shape[1:]), fresh.dtype)
+            if need > len(self.rows):
+                grown = np.empty((max(1024, 2 * need), *fresh.shape[1:]), fresh.dtype)
                 grown[: self.filled] = self.rows[: self.filled]
                 self.rows = grown
-            self.rows[self.filled : self.filled + len(fresh)] = fresh
-            self.filled += len(fresh)
+                self.uses = np.concatenate([self.uses, np.zeros(len(grown) - len(self.uses), np.int64)])
+            self.rows[self.filled : need] = fresh
+            self.filled = need
             self.new = []
+        self.uses[: self.filled] += np.bincount(ids, minlength=self.filled)
         return ids, self.rows
 
 
@@ -98,3 +120,50 @@ def cache_for(key, make: Callable[[], WordCache]) -> WordCache:
     if _CACHES.get(kind, (None,))[0] != version:
         _CACHES[kind] = (version, make())
     return _CACHES[kind][1]
+
+
+class IdStore:
+    """Ids of words in one flat array; a cache's rows are (start, size) in it."""
+
+    def __init__(self, ids_of: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+        """``ids_of``: all ids of some words one after another, and each word's number of ids."""
+        self.ids_of, self.flat, self.used = ids_of, np.zeros(1 << 16, np.uint32), 0
+        self.words = WordCache(self._add, limit, self._compact)
+
+    def _add(self, words: list) -> np.ndarray:
+        if not words:
+            return np.zeros((0, 2), np.int64)
+        got, sizes = self.ids_of(words)
+        total = len(got)
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, np.uint32)])
+        self.flat[self.used : self.used + total] = got
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        return np.stack([starts, sizes], axis=1)
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+    def _compact(self, rows: np.ndarray) -> np.ndarray:
+        starts, sizes = rows[:, 0], rows[:, 1]
+        ends = np.cumsum(sizes)
+        stay = self._gather(starts, sizes, ends)
+        self.flat[: len(stay)], self.used = stay, len(stay)
+        return np.stack([ends - sizes, sizes], axis=1)
+
+    def ids(self, words: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts one after another and each text's number of ids, from all their words and each text's number of words."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        rows, table = self.words.lookup(words)
+        starts, sizes = table[rows, 0], table[rows, 1]
+        ends = np.cumsum(sizes)
+        upto = np.concatenate(([0], ends))[np.cumsum(counts)]
+        return self._gather(starts, sizes, ends), np.diff(np.concatenate(([0], upto)))
+
+
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as IdStore takes them."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum())), sizes

@@ -11,6 +11,7 @@ each class (salted, with offsets from a small count table) and find sequence and
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import checkpoint, text_chunks
-from ._words import WordCache, cache_for
+from ._words import IdStore, cache_for, joined
 
 CAPACITY, END_ID, GRAIN = 2048, 1, 8
 #: Groups into which each length class is dealt for ranking.
 RANK_SALTS = 64
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}[.,]?")
 
 
 def tokenizer_path() -> str:
@@ -45,6 +47,15 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """Of each id, whether its piece ends a word."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+    return out
+
+
 class TokenIds:
     """Ids of whole texts from the ids of their white-space separated words.
 
@@ -54,26 +65,34 @@ class TokenIds:
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
-        self.path, self.flat, self.used = path, np.zeros(1 << 16, np.uint16), 0
-        self.words = WordCache(self._encode, limit)
-
-    def _encode(self, words: list[bytes]) -> np.ndarray:
-        if not self.words.filled:
-            self.used = 0
-        if not words:
-            return np.zeros((0, 2), np.int64)
-        got = [e.ids for e in _tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(sizes.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, self.flat.dtype)])
-        ids = np.fromiter((i for e in got for i in e), np.uint32, total)
-        if len(ids) and ids.max() > np.iinfo(self.flat.dtype).max:
-            self.flat = self.flat.astype(np.uint32)
-        self.flat[self.used : self.used + total] = ids
-        starts = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        return np.stack([starts, sizes], axis=1)
+        self.path, self.store = path, IdStore(self._encode, limit)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Most new words are plain: Latin letters, then perhaps a full stop or comma, so one or two pre-tokens, each of
+        which ends with a piece that ends a word. Those are encoded many at a time and told apart by such pieces."""
+        coder, texts = _tokenizer(self.path), [w.decode("utf-8", "replace") for w in words]
+        plain = np.fromiter((_PLAIN.fullmatch(t) is not None for t in texts), bool, len(texts))
+        sizes, parts = np.zeros(len(texts), np.int64), []
+        chosen = np.flatnonzero(plain)
+        if len(chosen):
+            lines = [" ".join([texts[i] for i in chosen[at : at + 500]]) for at in range(0, len(chosen), 500)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in coder.encode_batch_fast(lines, add_special_tokens=False)])
+            pre_tokens = np.fromiter((2 if texts[i][-1] in ".," else 1 for i in chosen), np.int64, len(chosen))
+            ends = np.flatnonzero(_word_ends(self.path)[flat])
+            if len(ends) != pre_tokens.sum():
+                raise ValueError("the tokenizer does not end words as expected")
+            upto = ends[np.cumsum(pre_tokens) - 1] + 1
+            sizes[chosen] = np.diff(np.concatenate(([0], upto)))
+            parts.append((chosen, flat))
+        others = np.flatnonzero(~plain)
+        if len(others):
+            flat, sizes[others] = joined([e.ids for e in coder.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)])
+            parts.append((others, flat))
+        out, starts = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        for which, flat in parts:
+            n = sizes[which]
+            out[np.repeat(starts[which] - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
+        return out, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` one after another, and each text's number of ids."""
@@ -82,12 +101,7 @@ class TokenIds:
             own = text.encode("utf-8", "replace").split()
             counts[i] = len(own)
             words += own
-        rows, table = self.words.lookup(words)
-        starts, sizes = (table[rows, k] for k in (0, 1)) if len(rows) else (np.zeros(0, np.int64),) * 2
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)].astype("<u4")
-        upto = np.concatenate(([0], ends))[np.cumsum(counts)]
-        return ids, np.diff(np.concatenate(([0], upto)))
+        return self.store.ids(words, counts)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
