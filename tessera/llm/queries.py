@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, quality, simhash, toxicity
+from . import exact_dedup, gif, language_id, packing, pieces, quality, simhash, token_count, toxicity, wfst
 from ._runtime import held_out, table
 
 
@@ -24,6 +24,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), pieces.model_path())
+
+
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_payloads(gif.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = pieces.model_path()
+    return wfst.digest(wfst.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
@@ -38,4 +51,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_dedup, op8_packing, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_dedup, op4_token_count, op5_gif, op6_sentencepiece, op8_packing, op9_simhash, op10_toxicity)}
