@@ -69,6 +69,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id stays in its group of equal texts."""
-    dropped = exact_groups(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """The rows of ``docs``, with all their columns, that stay in their group of equal texts. Rows without an id stay."""
+    dropped = exact_groups(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_dropped_sha")).distinct()
+    same = (docs[id_col] == dropped["_dropped"]) & (F.sha2(normalised(docs[text_col]), 256) == dropped["_dropped_sha"])
+    return docs.join(dropped, same, "left_anti")

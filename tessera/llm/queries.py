@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, gif, language_id, packing, pieces, quality, simhash, token_count, toxicity, wfst
+from . import exact_dedup, gif, language_id, licenses, packing, pieces, quality, simhash, token_count, toxicity, wfst
 from ._runtime import held_out, table
 
 
@@ -37,6 +37,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.digest(wfst.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
@@ -51,4 +55,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_dedup, op4_token_count, op5_gif, op6_sentencepiece, op8_packing, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_dedup, op4_token_count, op5_gif, op6_sentencepiece, op7_license_scan, op8_packing, op9_simhash, op10_toxicity)}

@@ -196,7 +196,10 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of its component."""
+    """The rows of ``docs``, with all their columns, whose id is the smallest of its component.
+
+    Rows without an id stay. Should an id stand for several texts, all its rows stay if one of them does.
+    """
     found = near_duplicate_components(docs, id_col, text_col, words, max_bits)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    dropped = found.groupBy(F.col(id_col).alias("_dropped")).agg(F.every(F.col(id_col) != F.col("component_id")).alias("_all")).where("_all").select("_dropped")
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
