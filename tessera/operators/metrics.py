@@ -38,10 +38,10 @@ def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 def per_class(df: DataFrame, y: str, pred: str, empty: float | None = 0.0) -> DataFrame:
     """(class, support, precision, recall, f1, iou) of every class that occurs in either column; null for undefined if ``empty`` is None."""
-    cells = confusion_matrix(df, y, pred).select(F.inline(F.array(
-        F.struct(F.col("y").alias("class"), F.col("n").alias("actual"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")),
-        F.struct(F.col("pred"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")),
-    )))
+    none = F.lit(0).cast("long")
+    side = lambda c, actual, said, hit: F.struct(c.alias("class"), actual.alias("actual"), said.alias("said"), hit.alias("hit"))
+    n, same = F.col("n"), F.col("y") == F.col("pred")
+    cells = confusion_matrix(df, y, pred).select(F.inline(F.array(side(F.col("y"), n, none, F.when(same, n).otherwise(none)), side(F.col("pred"), none, n, none))))
     c = cells.groupBy("class").agg(*[F.sum(x).alias(x) for x in ("actual", "said", "hit")])
     hit, said, actual = (F.col(x) for x in ("hit", "said", "actual"))
     return c.select("class", actual.alias("support"), _ratio(hit, said, empty).alias("precision"), _ratio(hit, actual, empty).alias("recall"), _ratio(2 * hit, said + actual, empty).alias("f1"), _ratio(hit, said + actual - hit, empty).alias("iou"))
