@@ -32,7 +32,7 @@ def bbox_aspect_ratio(min_lon: Column, min_lat: Column, max_lon: Column, max_lat
 def suggest_zoom(min_lon: Column, max_lon: Column) -> Column:
     width = max_lon - min_lon
     zoom = F.floor(F.log2(360.0 / F.when(width > 0, width)))
-    return F.coalesce(F.least(F.greatest(zoom, F.lit(0)), F.lit(22)), F.lit(22)).cast("int")
+    return F.when(width > 0, F.least(F.greatest(zoom, F.lit(0)), F.lit(22))).otherwise(22).cast("int")
 
 
 def crosses_antimeridian(min_lon: Column, max_lon: Column) -> Column:
