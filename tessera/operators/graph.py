@@ -112,14 +112,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
 
 
 def label_propagation(edges: DataFrame, max_iter: int = 10) -> DataFrame:
-    """(id, community): every node takes its heaviest neighbouring label, its own included at its own weight of a half, ties to the smallest.
+    """(id, community): every node takes its heaviest neighbouring label, its own included with weight 1, ties to the smallest.
 
     All nodes move at once; a label is named by its smallest member in the end.
     """
     e = checkpoint(undirected(edges))
     labels = checkpoint(vertices(edges).withColumn("label", F.col("id")))
     for _ in range(max_iter):
-        votes = e.join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "weight").unionByName(labels.select("id", "label", F.lit(0.5).alias("weight")))
+        votes = e.join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "weight").unionByName(labels.select("id", "label", F.lit(1.0).alias("weight")))
         best = votes.groupBy("id", "label").agg(F.sum("weight").alias("w")).groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
         new = checkpoint(best)
         moved = new.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").isEmpty()

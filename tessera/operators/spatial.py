@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import EARTH_RADIUS_KM, haversine_km
 
-_ALL = Window.partitionBy()
-
 
 def rook_weights(cells: DataFrame, queen: bool = False) -> DataFrame:
     """Neighbour table of grid cells ``id, row, col``: sides, or sides and corners."""
@@ -93,7 +91,7 @@ def permutation_moran(values: DataFrame, w: DataFrame, permutations: int = 99, s
     z = dealt.join(places.select(F.col("id").alias("place"), "r"), "r").select("p", "place", (F.col("x") - F.avg("x").over(Window.partitionBy("p"))).alias("z"), F.var_pop("x").over(Window.partitionBy("p")).alias("m2"))
     s = w.join(z.select(F.col("place").alias("i"), "p", F.col("z").alias("zi"), "m2"), "i").join(z.select(F.col("place").alias("j"), "p", F.col("z").alias("zj")), ["j", "p"])
     each = s.groupBy("p").agg((F.sum(F.col("w") * F.col("zi") * F.col("zj")) / F.sum("w") / F.first("m2")).alias("i"))
-    own = F.max(F.when(F.col("p") == 0, F.col("i"))).over(_ALL)
+    own = F.max(F.when(F.col("p") == 0, F.col("i"))).over(Window.partitionBy())
     return each.withColumn("own", own).agg(F.first("own").alias("moran_i"), ((F.count_if((F.col("p") > 0) & (F.col("i") >= F.col("own"))) + 1) / F.lit(permutations + 1)).alias("p_value"))
 
 

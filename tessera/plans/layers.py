@@ -63,7 +63,7 @@ _PAYLOAD = "to_json(named_struct('hourly', named_struct('time', time, 'pm2_5', p
 
 @query("""WITH o AS (SELECT event_type AS station, date_trunc('hour', ts) AS h, avg(value) AS v, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts)) AS i FROM events GROUP BY 1, 2),
 r AS (SELECT station, epoch(h)::BIGINT AS ts, CASE WHEN i % 3 = 0 THEN NULL ELSE round(v, 4) END AS pm25, CASE WHEN i % 2 = 0 THEN NULL ELSE round(v * 2, 4) END AS pm10 FROM o)
-SELECT station, count(*) AS n, min(ts) AS first, round(sum(pm25), 2) AS pm25, round(sum(pm10), 2) AS pm10 FROM r WHERE pm25 IS NOT NULL OR pm10 IS NOT NULL GROUP BY 1""")
+SELECT station, count(*) AS n, min(ts) AS first, round(sum(pm25), 4) AS pm25, round(sum(pm10), 4) AS pm10 FROM r WHERE pm25 IS NOT NULL OR pm10 IS NOT NULL GROUP BY 1""")
 def parse_hourly_air(spark, sf_dir):
     """Hourly readings packed as an API's columnar JSON, and parsed back."""
     from pyspark.sql import Window
@@ -72,4 +72,4 @@ def parse_hourly_air(spark, sf_dir):
     i = F.row_number().over(Window.partitionBy("station").orderBy("h"))
     r = hours.withColumn("i", i).select("station", F.struct("h", F.date_format("h", "yyyy-MM-dd'T'HH:mm").alias("time"), F.when(F.col("i") % 3 != 0, F.round("v", 4)).alias("pm25"), F.when(F.col("i") % 2 != 0, F.round(F.col("v") * 2, 4)).alias("pm10")).alias("s"))
     packed = r.groupBy("station").agg(F.array_sort(F.collect_list("s")).alias("s")).selectExpr("station", "s.time as time", "s.pm25 as pm25", "s.pm10 as pm10").selectExpr("station", f"{_PAYLOAD} as payload")
-    return tables.parse_hourly_air(packed).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.round(F.sum("pm25"), 2).alias("pm25"), F.round(F.sum("pm10"), 2).alias("pm10"))
+    return tables.parse_hourly_air(packed).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.round(F.sum("pm25"), 4).alias("pm25"), F.round(F.sum("pm10"), 4).alias("pm10"))

@@ -47,9 +47,9 @@ def trip_duration_buckets(spark, sf_dir):
     return marts.trip_duration_buckets(_clean(spark, sf_dir))
 
 
-@query(f"WITH {TRIPS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(fare + tip), 3) AS revenue FROM clean GROUP BY 1")
+@query(f"WITH {TRIPS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(fare + tip), 6) AS revenue FROM clean GROUP BY 1")
 def revenue_by_day(spark, sf_dir):
-    return rounded(marts.revenue_by_day(_clean(spark, sf_dir)), "revenue", digits=3).withColumn("day", F.col("day").cast("string"))
+    return rounded(marts.revenue_by_day(_clean(spark, sf_dir)), "revenue").withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""WITH {TRIPS}, q AS (SELECT quantile_cont(fare, 0.25) f1, quantile_cont(fare, 0.75) f3, quantile_cont(trip_minutes, 0.25) m1, quantile_cont(trip_minutes, 0.75) m3 FROM clean),
@@ -101,7 +101,7 @@ def pruned_scan(spark, sf_dir):
     return line.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-@query("""SELECT r_name, n_name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+@query("""SELECT r_name, n_name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE l_extendedprice > 0 AND l_quantity > 0 GROUP BY 1, 2, 3""")
 def layered_revenue(spark, sf_dir):
@@ -111,4 +111,4 @@ def layered_revenue(spark, sf_dir):
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     customers = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
     fact = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return fact.groupBy("r_name", "n_name", "day").agg(F.round(F.sum("amount"), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return fact.groupBy("r_name", "n_name", "day").agg(F.round(F.sum("amount"), 4).alias("revenue"), F.count(F.lit(1)).alias("n"))

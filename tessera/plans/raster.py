@@ -186,10 +186,10 @@ def stitch(spark, sf_dir):
     return rounded(raster.stitch(tiles), "value", digits=9)
 
 
-@query(f"WITH {PIXELS} SELECT count(*) AS n, round(sum(least(greatest((nir - 0.1) / (0.6 - 0.1), 0), 1)), 4) AS total, round(avg(CASE WHEN red > 0.05 THEN 10 * log10(red) END), 5) AS db FROM pixels WHERE y % 4 = 0 AND x % 4 = 0")
+@query(f"WITH {PIXELS} SELECT count(*) AS n, round(sum(least(greatest((nir - 0.1) / (0.6 - 0.1), 0), 1)), 7) AS total, round(avg(CASE WHEN red > 0.05 THEN 10 * log10(red) END), 5) AS db FROM pixels WHERE y % 4 = 0 AND x % 4 = 0")
 def downsample(spark, sf_dir):
     small = raster.downsample(pixels(spark, sf_dir), 200, 72, 64)
-    return small.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(raster.normalize(F.col("nir"), 0.1, 0.6)), 4).alias("total"), F.round(F.avg(raster.to_db(F.when(F.col("red") > 0.05, F.col("red")))), 5).alias("db"))
+    return small.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(raster.normalize(F.col("nir"), 0.1, 0.6)), 7).alias("total"), F.round(F.avg(raster.to_db(F.when(F.col("red") > 0.05, F.col("red")))), 5).alias("db"))
 
 
 _SERIES = f"{DAYS}, s AS (SELECT station AS k, (date - DATE '2024-01-01') AS t, round(tmean + CASE WHEN day(date) > 15 THEN 25 ELSE 0 END, 4) AS y FROM days)"

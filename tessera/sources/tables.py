@@ -115,7 +115,7 @@ def load_points(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
 
 def load_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """Markdown files as (doc_id, title, body): file stem, first heading or the stem."""
-    docs = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(directory)
+    docs = spark.read.option("pathGlobFilter", "*.md").text(directory, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1)
     heading = F.regexp_extract("value", r"(?m)^#\s+(.+?)\s*$", 1)
     return docs.select(stem.alias("doc_id"), F.when(heading != "", heading).otherwise(stem).alias("title"), F.col("value").alias("body"))
