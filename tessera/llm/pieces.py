@@ -1,10 +1,10 @@
 """The vocabulary of a SentencePiece model file, and its texts' units.
 
-Pieces count as a unigram model: a segmentation's score is the sum of its pieces' scores, characters that no
+As a unigram model a segmentation's score is the sum of its pieces' scores, characters that no
 piece covers become their UTF-8 bytes' pieces at the lowest score less 10, and of equal scores the path whose
 last piece is longer wins, decided from left to right. Scores add up in doubles, so this equals the `Unigram`
-model of the public ``tokenizers`` library, and SentencePiece's own unigram mode as far as its single-precision
-sums are exact.
+model of the public ``tokenizers`` library. As a byte-pair model, scores rank the merges, and the result equals
+SentencePiece's for a file of that type.
 
 No piece has a space mark after another character (checked on loading). A text therefore falls apart at every
 space that follows a non-space, and its units can be encoded one by one and kept.

@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer in the tropical semiring.
 
-Three transducers are compiled from a model's pieces (see ``pieces`` for what they mean): the normaliser maps a
-space to the space mark and every other character to itself; the piece transducer is a trie whose final states
-go back to the start, emitting the piece at minus its score; the byte fallback emits a character's byte pieces
-where no single-character piece starts. Normaliser and pieces are composed once. Each input is a linear
-acceptor; its composition is explored lazily, position by position, and since it has no cycles one pass of
-relaxations gives the shortest path. Arcs are relaxed from earlier starts first and only a strictly lower cost
-replaces a path, which is the tokenizer's rule for ties.
+Compiled from a model's pieces: the normaliser maps a space to the space mark and every other character to
+itself; the piece transducer is a trie whose final states go back to the start and emit the piece; the byte
+fallback emits a character's byte pieces where the character is no piece. Normaliser and pieces are composed
+once. Each input is a linear acceptor; its composition is explored lazily, position by position, and since it
+has no cycles one pass of relaxations gives the shortest path.
+
+For a unigram model an emitted piece costs minus its score, and only a strictly lower cost replaces a path (see
+``pieces``). For a byte-pair model a third transducer, whose states are the last piece, joins the composition: a
+piece after a piece costs nothing if merging their joint text by rank gives just those two, and infinitely much
+otherwise. A sequence of pieces is what merging gives exactly if that holds for each of its neighbours, so every
+prefix has one path of finite cost and the shortest path is the byte-pair encoding.
 """
 
 from __future__ import annotations
@@ -29,18 +33,28 @@ from ._words import IdStore, cache_for, joined
 _FINAL = 0
 
 
+#: Neighbours whose cost is kept.
+_PAIRS = 500_000
+
+
 class Transducer:
     """States are dicts from an input character to the next state; ``_FINAL`` holds (piece id, cost) where a piece ends."""
 
-    def __init__(self, vocabulary: pieces.Vocabulary):
+    def __init__(self, vocabulary: pieces.Vocabulary, kind: str = "bpe"):
+        if kind not in ("bpe", "unigram"):
+            raise ValueError(f"unknown kind of model {kind}")
         self.root: dict = {}
+        self.scores = {piece: score for piece, (_, score) in vocabulary.scores.items()}
         for piece, (label, score) in vocabulary.scores.items():
             state = self.root
             for char in piece:
                 state = state.setdefault(char, {})
-            state[_FINAL] = (label, -score)
+            if kind == "unigram" or self._merged(piece) == [piece]:  # what merging never makes is no piece to emit
+                state[_FINAL] = (label, -score)
         self._compose_normaliser(self.root)
         self.byte_ids, self.fallback_cost = vocabulary.byte_ids, -vocabulary.unknown_score
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.shortest_path = self._byte_pair_path if kind == "bpe" else self._unigram_path
 
     def _compose_normaliser(self, state: dict) -> None:
         """Normaliser o pieces: wherever a space mark leads on, so does a space. The normaliser has one state, so states stay."""
@@ -51,7 +65,54 @@ class Transducer:
             if pieces.MARK in state:
                 state[" "] = state[pieces.MARK]
 
-    def shortest_path(self, chars: str) -> list[int]:
+    def _merged(self, chars: str) -> list[str]:
+        """Merging by rank: of all neighbours whose join is a piece the best scored one merges, the first of equals, until none is left."""
+        parts, known = list(chars), self.scores.get
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = known(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _joins(self, left: str, right: str) -> bool:
+        """Whether ``right`` after ``left`` costs nothing."""
+        found = self.pairs.get((left, right))
+        if found is None:
+            if len(self.pairs) >= _PAIRS:
+                self.pairs.clear()
+            found = self.pairs[left, right] = self._merged(left + right) == [left, right]
+        return found
+
+    def _byte_pair_path(self, chars: str) -> list[int]:
+        """Output labels of the one path of finite cost that reads all of ``chars``."""
+        chars = chars.replace(" ", pieces.MARK)
+        n, root, joins = len(chars), self.root, self._joins
+        start_of, label_of = [-1] * (n + 1), [None] * (n + 1)
+        for start in range(n):
+            before = chars[start_of[start] : start] if start else ""
+            state, at = root, start
+            while at < n and (state := state.get(chars[at])) is not None:
+                at += 1
+                if _FINAL in state and start_of[at] < 0 and (not start or joins(before, chars[start:at])):
+                    start_of[at], label_of[at] = start, state[_FINAL][0]
+            if start_of[start + 1] < 0 and chars[start] not in self.scores and (not start or joins(before, chars[start])):
+                start_of[start + 1] = start
+        out, at = [], n
+        while at:
+            if start_of[at] < 0:
+                raise ValueError("no path: the pieces are not a byte-pair vocabulary")
+            if label_of[at] is None:
+                out += [self.byte_ids[b] for b in reversed(chars[start_of[at]].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(label_of[at])
+            at = start_of[at]
+        return out[::-1]
+
+    def _unigram_path(self, chars: str) -> list[int]:
         """Output labels of the cheapest path that reads all of ``chars`` and ends at the start state."""
         n, root = len(chars), self.root
         cost, back = [0.0] + [np.inf] * n, [None] * (n + 1)
@@ -79,15 +140,15 @@ class Transducer:
 
 
 @lru_cache(maxsize=2)
-def compiled(path: str) -> Transducer:
-    return Transducer(pieces.load(path))
+def compiled(path: str, kind: str = "bpe") -> Transducer:
+    return Transducer(pieces.load(path), kind)
 
 
 class Encoder:
     """Ids of whole texts; paths of units are found once and kept."""
 
-    def __init__(self, path: str):
-        self.store = IdStore(lambda found: joined([compiled(path).shortest_path(u) for u in found]))
+    def __init__(self, path: str, kind: str = "bpe"):
+        self.store = IdStore(lambda found: joined([compiled(path, kind).shortest_path(u) for u in found]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` one after another, and each text's number of ids."""
@@ -115,11 +176,11 @@ def decode_ids(ids: list[int], path: str) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): piece ids of every row's whole text. Null and empty texts have no ids; repeated rows and ties get equal ids; other columns are ignored."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe") -> DataFrame:
+    """(id, ids) by a model of ``kind`` bpe or unigram: piece ids of every row's whole text. Null and empty texts have no ids; repeated rows and ties get equal ids; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = cache_for(("wfst", path), lambda: Encoder(path))
+        coder = cache_for(("wfst", path, kind), lambda: Encoder(path, kind))
         for part, texts in text_chunks(batches, "_text"):
             ids, counts = coder.encode(texts)
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
