@@ -16,6 +16,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Words whose n-grams are made at once; bounds the memory that takes.
+_AT_ONCE = 8_192
+
+
 def char_ngrams(words: Sequence[str], low: int, high: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of the character n-grams (``low`` to ``high``) of '<word>' and of the whole word.
 
@@ -24,7 +28,10 @@ def char_ngrams(words: Sequence[str], low: int, high: int, bits: int) -> tuple[n
     """
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if n > _AT_ONCE:
+        parts = [char_ngrams(words[i : i + _AT_ONCE], low, high, bits) for i in range(0, n, _AT_ONCE)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
     lengths = np.fromiter(map(len, words), np.int64, n) + 2
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
@@ -48,7 +55,7 @@ def char_ngrams(words: Sequence[str], low: int, high: int, bits: int) -> tuple[n
     own.append(np.arange(n))
     ids, owners = np.concatenate(out), np.concatenate(own)
     order = np.argsort(owners, kind="stable")
-    return (ids[order] >> np.uint64(64 - bits)).astype(np.int64), np.bincount(owners, minlength=n)
+    return (ids[order] >> np.uint64(64 - bits)).astype(np.int32), np.bincount(owners, minlength=n)
 
 
 class WordCache(dict):
@@ -115,11 +122,11 @@ _CACHES: dict = {}
 
 
 def cache_for(key, make: Callable[[], WordCache]) -> WordCache:
-    """This worker's cache for a model; only the latest model's is kept for each kind."""
-    kind, version = key
-    if _CACHES.get(kind, (None,))[0] != version:
-        _CACHES[kind] = (version, make())
-    return _CACHES[kind][1]
+    """This worker's cache for a model. Workers go on to other stages, so the caches of other models are let go."""
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = make()
+    return _CACHES[key]
 
 
 class IdStore:
