@@ -189,7 +189,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(fingerprint_links(nodes.select("fp"), max_bits))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # its own checkpoint lets the join deal both sides itself: AQE then splits the rows of a large component
+    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpoint(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
     out = prints.join(named, "fp")
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
