@@ -196,3 +196,24 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     rank, m = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(Window.partitionBy())
     cut = groups.select("v", (F.col("v") <= rank / m * alpha).alias("ok")).agg(F.max(F.when(F.col("ok"), F.col("v"))).alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
+
+
+def batch_metrics(df: DataFrame, image: str, y: str, score: str, threshold: float = 0.5, ignore: Column | None = None) -> DataFrame:
+    """Means over images of iou, f1, precision and recall of thresholded scores; an empty denominator counts as 1."""
+    rows = thresholded(df, score, threshold, ignore)
+    yes, said = F.col(y) == 1, F.col("pred") == 1
+    c = rows.groupBy(image).agg(F.count_if(yes & said).alias("tp"), F.count_if(~yes & said).alias("fp"), F.count_if(yes & ~said).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.agg(F.avg(_ratio(tp, tp + fp + fn, 1.0)).alias("iou"), F.avg(_ratio(2 * tp, 2 * tp + fp + fn, 1.0)).alias("f1"), F.avg(_ratio(tp, tp + fp, 1.0)).alias("precision"), F.avg(_ratio(tp, tp + fn, 1.0)).alias("recall"))
+
+
+def encode_labels(df: DataFrame, label: str) -> DataFrame:
+    """Rows with ``label_index``: the label's place among the sorted different labels, which are few."""
+    index = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("label_index", F.row_number().over(Window.orderBy(label)) - 1)
+    return df.join(index, label, "left")
+
+
+def rank_engines(runs: DataFrame, engine: str = "engine", seconds: str = "seconds") -> DataFrame:
+    """Median seconds of each engine with its dense rank and how many times the fastest it takes."""
+    m = runs.groupBy(engine).agg(F.median(seconds).alias("seconds"))
+    return m.select(engine, "seconds", F.dense_rank().over(Window.orderBy("seconds")).alias("rank"), (F.col("seconds") / F.min("seconds").over(Window.partitionBy())).alias("times_fastest"))

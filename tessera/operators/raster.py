@@ -190,3 +190,22 @@ def spatial_agreement(df: DataFrame, window_days: int = 30, magnitude: float = -
     hit = F.coalesce((F.abs(F.date_diff("detected", "event_date")) <= window_days) & (F.col("magnitude") <= magnitude), F.lit(False))
     rate = lambda side: F.coalesce(F.try_divide(F.count_if(hit & side).cast("double"), F.count_if(side).cast("double")), F.lit(0.0))
     return df.agg(rate(F.col("in_event")).alias("detection_rate"), rate(~F.col("in_event")).alias("false_alarm_rate"))
+
+
+def period_composite(df: DataFrame, value: str, days: int, t: str = "t") -> DataFrame:
+    """Per pixel and period of ``days`` days since 1970: the median of what is valid."""
+    period = F.floor(F.unix_date(t) / days)
+    return df.groupBy("y", "x", F.date_from_unix_date((period * days).cast("int")).alias("period_start")).agg(F.median(value).alias(value))
+
+
+def normalize_per_band(df: DataFrame, stats: dict[str, tuple[float, float]], eps: float = 1e-6) -> DataFrame:
+    return df.withColumns({b: (F.col(b) - m) / (s + eps) for b, (m, s) in stats.items()})
+
+
+def band_features(df: DataFrame, bands: list[str], by: str) -> DataFrame:
+    """Per patch the array mean, deviation, mean, deviation, ... of its bands."""
+    return df.groupBy(by).agg(F.array(*[f(b) for b in bands for f in (F.avg, F.stddev_pop)]).alias("features"))
+
+
+def count_objects(labelled: DataFrame) -> DataFrame:
+    return labelled.agg(F.count_distinct(F.when(F.col("label") != 0, F.col("label"))).alias("objects"))

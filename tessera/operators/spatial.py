@@ -208,3 +208,43 @@ def contains(lon: Column, lat: Column, ring: Column) -> Column:
     ahead = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     hit = lambda a, b: ((a["y"] > lat) != (b["y"] > lat)) & (lon < F.try_divide((b["x"] - a["x"]) * (lat - a["y"]), b["y"] - a["y"]) + a["x"])
     return F.size(F.filter(F.zip_with(ring, ahead, hit), lambda x: F.coalesce(x, F.lit(False)))) % 2 == 1
+
+
+def grid_points(spark, west: float, south: float, east: float, north: float, step: float, ring: Column | None = None) -> DataFrame:
+    """Regular points ``lon, lat`` of a box, or those inside a polygon's ring."""
+    axis = lambda a, b, c: spark.range(int((b - a) / step + 1e-9) + 1).select((F.lit(a) + F.col("id") * step).alias(c))
+    points = axis(west, east, "lon").crossJoin(F.broadcast(axis(south, north, "lat")))  # one side is an axis of the box
+    return points if ring is None else points.where(contains(F.col("lon"), F.col("lat"), ring))
+
+
+def join_areas(points: DataFrame, areas: DataFrame, area: str, cell: float = 1.0) -> DataFrame:
+    """Points with the area they lie in (null for none): areas ``area, ring`` go to the cells of their boxes, points to theirs.
+
+    A point on several areas takes the smallest name.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
+    cells = areas.select(area, "ring", F.explode(span(xs)).alias("_c"), span(ys).alias("_r")).select(area, "ring", "_c", F.explode("_r").alias("_r"))
+    found = _cells(points.withColumn("_p", F.struct(*points.columns)), "lat", "lon", cell).join(cells, ["_r", "_c"]).where(contains(F.col("lon"), F.col("lat"), F.col("ring")))
+    named = found.groupBy("lon", "lat").agg(F.min(area).alias(area))
+    return points.join(named, ["lon", "lat"], "left")
+
+
+def compare_weights(weights: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [weights_diagnostics(w, ids).withColumn("weights", F.lit(n)) for n, w in weights.items()])
+
+
+def permutation_local(values: DataFrame, w: DataFrame, permutations: int = 99, seed: int = 42, significance: float = 0.05) -> DataFrame:
+    """(id, local_i, p_value, label): local Moran against values dealt anew by hash order; the label is the quadrant where significant, else 'ns'."""
+    places = values.select("id", F.row_number().over(Window.orderBy("id")).alias("r"))
+    runs = values.select("x", "id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    dealt = runs.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("p", F.lit(seed), "id"), "id"))).join(places.withColumnRenamed("id", "place"), "r")
+    z = values.crossJoin(F.broadcast(values.agg(F.avg("x").alias("m"), F.var_pop("x").alias("m2"))))  # one row
+    own = z.select("id", (F.col("x") - F.col("m")).alias("z"), "m", "m2")
+    lags = row_standardize(w).join(dealt.select(F.col("place").alias("j"), "p", "x"), "j").groupBy(F.col("i").alias("id"), "p").agg(F.sum(F.col("w") * F.col("x")).alias("lag"))
+    real = local_moran(values, w)
+    each = lags.join(own, "id").select("id", (F.col("z") * (F.col("lag") - F.col("m")) / F.col("m2")).alias("i")).join(real, "id")
+    p = each.groupBy("id", "local_i", "quadrant").agg(((F.least(F.count_if(F.col("i") >= F.col("local_i")), F.count_if(F.col("i") <= F.col("local_i"))) + 1) / F.lit(permutations + 1)).alias("p_value"))
+    return p.select("id", "local_i", "p_value", F.when(F.col("p_value") <= significance, F.col("quadrant")).otherwise("ns").alias("label"))

@@ -194,3 +194,20 @@ def holdout_split(spark, sf_dir):
 @query()
 def stratified_split(spark, sf_dir):
     return metrics.stratified_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id").groupBy("label").pivot("part", ["train", "val", "test"]).count().na.fill(0)
+
+
+@query("""WITH p AS (SELECT l_linenumber AS image, l_returnflag = 'R' AS y, l_discount * 10 >= 0.5 AS s FROM lineitem WHERE l_tax > 0.01), c AS (SELECT image, count(*) FILTER (y AND s) AS tp, count(*) FILTER (NOT y AND s) AS fp, count(*) FILTER (y AND NOT s) AS fn FROM p GROUP BY 1)
+SELECT round(avg(coalesce(tp / nullif(tp + fp + fn, 0), 1)), 6) AS iou, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 1)), 6) AS f1, round(avg(coalesce(tp / nullif(tp + fp, 0), 1)), 6) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 1)), 6) AS recall FROM c""")
+def batch_metrics(spark, sf_dir):
+    px = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber as image", "int(l_returnflag = 'R') as y", "l_discount * 10 as s", "l_tax")
+    return rounded(metrics.batch_metrics(px, "image", "y", "s", ignore=F.col("l_tax") <= 0.01), "iou", "f1", "precision", "recall")
+
+
+@query("SELECT c_custkey, c_mktsegment, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INTEGER AS label_index FROM customer")
+def encode_labels(spark, sf_dir):
+    return metrics.encode_labels(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
+
+
+@query("WITH m AS (SELECT event_type AS engine, median(value) AS seconds FROM events GROUP BY 1) SELECT engine, round(seconds, 6) AS seconds, dense_rank() OVER (ORDER BY seconds)::INTEGER AS rank, round(seconds / min(seconds) OVER (), 6) AS times_fastest FROM m")
+def rank_engines(spark, sf_dir):
+    return rounded(metrics.rank_engines(table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("value").alias("seconds"))), "seconds", "times_fastest")

@@ -238,3 +238,20 @@ def spatial_agreement(spark, sf_dir):
     b = trend.cusum_breakpoint(_series(spark, sf_dir), "k")
     found = b.select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("break_index").cast("int")).alias("detected"), (-F.abs("magnitude")).alias("magnitude"), (F.col("k") < "p").alias("in_event"), F.lit("2024-01-20").cast("date").alias("event_date"))
     return rounded(raster.spatial_agreement(found, 7), "detection_rate", "false_alarm_rate")
+
+
+@query(f"WITH {_NDVI} SELECT y, x, (DATE '1970-01-01' + ((t - DATE '1970-01-01') // 64 * 64)::INTEGER)::VARCHAR AS period_start, round(median(ndvi), 6) AS ndvi FROM px WHERE year(t) = 1997 AND y < 50 GROUP BY 1, 2, (t - DATE '1970-01-01') // 64")
+def period_composite(spark, sf_dir):
+    out = raster.period_composite(_ndvi(spark, sf_dir).where("year(t) = 1997 and y < 50"), "ndvi", 64)
+    return rounded(out, "ndvi").withColumn("period_start", F.col("period_start").cast("string"))
+
+
+@query(f"WITH {PIXELS} SELECT x, round(avg((nir - 0.3) / (0.2 + 1e-6)), 6) AS nir_mean, round(stddev_pop((nir - 0.3) / (0.2 + 1e-6)), 6) AS nir_std FROM pixels GROUP BY 1")
+def band_features(spark, sf_dir):
+    scaled = raster.normalize_per_band(pixels(spark, sf_dir), {"nir": (0.3, 0.2)})
+    return raster.band_features(scaled, ["nir"], "x").select("x", F.round(F.col("features")[0], 6).alias("nir_mean"), F.round(F.col("features")[1], 6).alias("nir_std"))
+
+
+@query(f"WITH RECURSIVE {_LABELS} SELECT count(DISTINCT label) AS objects FROM labels")
+def count_objects(spark, sf_dir):
+    return raster.count_objects(raster.label_components(_mask(spark, sf_dir), 100))

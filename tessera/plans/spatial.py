@@ -189,3 +189,29 @@ def point_in_polygon(spark, sf_dir):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((6.0, 0.0), (0.0, 6.0), (-6.0, 0.0), (0.0, -6.0))])
     p = places(spark, sf_dir).where(F.abs(F.abs("lat") + F.abs("lon") - 6) > 1e-9)
     return p.select("place_id", spatial.contains(F.col("lon"), F.col("lat"), ring).alias("inside"))
+
+
+@query("SELECT lon, lat FROM (SELECT -6 + i * 0.7::DOUBLE AS lon FROM range(18) t(i)), (SELECT -6 + i * 0.7::DOUBLE AS lat FROM range(18) t(i)) WHERE abs(lat) + abs(lon) < 6")
+def demand_grid(spark, sf_dir):
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((6.0, 0.0), (0.0, 6.0), (-6.0, 0.0), (0.0, -6.0))])
+    return spatial.grid_points(spark, -6.0, -6.0, 6.0, 6.0, 0.7, ring)
+
+
+@query(f"WITH {PLACES}, n AS (SELECT n_nationkey % 5 * 4.8::DOUBLE - 12 AS x0, n_nationkey // 5 * 3.2::DOUBLE - 8 AS y0, n_name AS area FROM nation WHERE n_nationkey % 6 <> 0) SELECT place_id, min(area) AS area FROM places LEFT JOIN n ON lon > x0 + 0.001 AND lon < x0 + 4.799 AND lat > y0 + 0.001 AND lat < y0 + 3.199 GROUP BY 1")
+def join_admin(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 0").select(F.col("n_name").alias("area"), F.expr("n_nationkey % 5 * 4.8D - 12").alias("x0"), F.expr("(n_nationkey div 5) * 3.2D - 8").alias("y0"))
+    corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
+    areas = nation.select("area", F.array(corner(0.001, 0.001), corner(4.799, 0.001), corner(4.799, 3.199), corner(0.001, 3.199)).alias("ring"))
+    return spatial.join_areas(places(spark, sf_dir).select("place_id", "lon", "lat"), areas, "area").select("place_id", "area")
+
+
+@query(f"WITH {GRID}, q AS (SELECT a.id AS i, b.id AS j FROM grid a JOIN grid b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id), d AS (SELECT 'rook' AS weights, id, count(j) AS k FROM grid LEFT JOIN w ON i = id GROUP BY 1, 2 UNION ALL SELECT 'queen', id, count(j) FROM grid LEFT JOIN q ON i = id GROUP BY 1, 2) SELECT weights, count(*) AS n, count(*) FILTER (k = 0) AS islands, round(avg(k), 6) AS mean_neighbours, min(k) AS min_neighbours, max(k) AS max_neighbours, round(100 * sum(k) / (count(*) * count(*)), 6) AS pct_nonzero FROM d GROUP BY 1")
+def compare_weights(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    out = spatial.compare_weights({"rook": spatial.rook_weights(g), "queen": spatial.rook_weights(g, queen=True)}, g.select("id"))
+    return rounded(out, "mean_neighbours", "pct_nonzero")
+
+
+@query()
+def local_moran_permutation(spark, sf_dir):
+    return rounded(spatial.permutation_local(*_both(spark, sf_dir), permutations=19), "local_i", "p_value")
