@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -240,6 +241,8 @@ def predict_texts(model: CrfModel, texts: list[str], cache: WordCache | None = N
     words, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = words_of(text)
+        if own and not any(map(str.isalpha, own)) and not any(c.isalpha() for w in own for c in w):
+            own = []  # numerals that are no letters
         counts[i] = len(own)
         words += own
     out, share = [UNDETERMINED] * len(texts), np.zeros(len(texts))
@@ -255,14 +258,20 @@ def predict_texts(model: CrfModel, texts: list[str], cache: WordCache | None = N
 
 
 def training_rows(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_language`` (text, language) rows of each language, chosen by a hash of the id among ``eligible`` rows."""
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & eligible & (F.length(text_col) <= max_chars))
-    languages = sorted(r[0] for r in usable.select(lang_col).distinct().collect())
-    rows = []
-    for lang in languages:
-        part = usable.where(F.col(lang_col) == lang).select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).orderBy("_h", "_id", "_t").limit(per_language)
-        rows += [(r["_t"], lang) for r in part.collect()]
-    return rows
+    """At most ``per_language`` (text, language) rows of each language, chosen by a hash of the id among ``eligible`` rows.
+
+    Ids are chosen without their texts; then the chosen ids, a bounded set, fetch theirs. Chosen texts that are
+    null or over ``max_chars`` characters are left out of the sample (never out of predictions).
+    """
+    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & eligible).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    languages = sorted(r[0] for r in ids.select("_lang").distinct().collect())
+    if not languages:
+        return []
+    picked = [ids.where(F.col("_lang") == lang).distinct().orderBy(F.xxhash64("_id"), "_id").limit(per_language) for lang in languages]
+    chosen = F.broadcast(reduce(DataFrame.unionByName, picked))
+    texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
+    rows = texts.join(chosen, (F.col("_i") == F.col("_id")) & (F.col("_l") == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min("_t").alias("_t")).collect()
+    return [(r["_t"], r["_lang"]) for r in sorted(rows, key=lambda r: (r["_lang"], r["_id"]))]
 
 
 def identify(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
