@@ -3,8 +3,10 @@
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the whole word, so a
 misspelt word shares most of its vector with the words it resembles. A text is read in half-overlapping windows
 of WINDOW words; a window's vector is the mean of its words' vectors and goes through the softmax. A word that
-came up less than WINDOW words before counts as a zero vector, so that repetition says nothing. The text's score is its most toxic window's, so that one passage in a very long text counts as much as in a short one.
-The first training epochs average over whole texts, the later ones follow each text's most toxic window.
+came up less than WINDOW words before counts as a zero vector, so that repetition says nothing. The text's
+margin is the mean over its most toxic windows, a fifth of them but 3 to 32: how dense toxic words are counts,
+up to a passage of some hundred words in a text of any length. The first training epochs average over whole
+texts, the later ones follow each text's most toxic windows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from ._runtime import labelled_sample, text_chunks
 from ._words import WordCache, cache_for, char_ngrams
 
 BITS, LOW, HIGH, DIM, WINDOW = 17, 3, 5, 16, 16
+#: The most toxic windows that count: a share of a text's windows, at least and at most so many.
+SHARE, LEAST, MOST = 0.2, 3, 32
+#: How much of the embeddings that a batch touches decays, times its step.
+DECAY = 0.002
 #: Bounds of the training sample: labelled texts per class and characters of a text that may be in it.
 TEXTS_PER_CLASS, MAX_TRAIN_CHARS = 2_000, 20_000
 _WORD = re.compile(r"\w{1,64}")
@@ -38,6 +44,16 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, base[owner] + counts[owner]), owner
 
 
+def _top_windows(mean: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's windows with the largest means: a SHARE of them, between LEAST and MOST; and how many of them its text has."""
+    order = np.lexsort((-mean, owner))
+    each = np.bincount(owner, minlength=texts)
+    wanted = np.clip(np.ceil(each * SHARE).astype(np.int64), LEAST, MOST)
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(each) - each, each)
+    top = order[rank < wanted[owner[order]]]
+    return top, np.minimum(each, wanted)[owner[top]]
+
+
 def _fresh(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """True where a word was not among the WINDOW - 1 words before it in its text."""
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -82,14 +98,15 @@ class SubwordModel:
         start, end, owner = _windows(counts)
         upto = np.concatenate(([0.0], np.cumsum(margins)))
         mean = (upto[end] - upto[start]) / np.maximum(1, end - start)
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, owner, mean)
+        top, share = _top_windows(mean, owner, len(texts))
+        top = np.bincount(owner[top], weights=mean[top] / share, minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(top + self.bias[1] - self.bias[0], -500, 500)))
 
 
-def train_subwords(rows: list[tuple[str, int]], epochs: int = 8, whole: int = 2, batch: int = 32, rate: float = 0.2, seed: int = 5) -> SubwordModel:
-    """Fit on (text, label) rows. With one class or none in the sample, the score is constant: that class, or 0.5."""
+def train_subwords(rows: list[tuple[str, int]], epochs: int | None = None, batch: int = 32, rate: float = 1.0, seed: int = 5) -> SubwordModel:
+    """Fit on (text, label) rows; a small sample is gone through more often. With one class or none, the score is constant: that class, or 0.5."""
     rng = np.random.default_rng(seed)
+    epochs = epochs or int(np.clip(30_000 // max(1, len(rows)), 8, 40))
     model = SubwordModel(rng.uniform(-1, 1, (1 << BITS, DIM)) / DIM, np.zeros((DIM, 2)), np.zeros(2))
     labels = {y for _, y in rows}
     if len(labels) < 2:
@@ -103,7 +120,9 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int = 8, whole: int = 2,
     ends = np.cumsum(sizes)
     square = [np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)]
     for epoch in range(epochs):
-        for chosen in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
+        rounds = np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch))
+        for turn, chosen in enumerate(rounds):
+            step = rate * (1 - (epoch + turn / len(rounds)) / epochs)
             own = [texts[i] for i in chosen]
             counts = np.array([len(x) for x in own])
             tokens = np.concatenate(own)
@@ -120,30 +139,29 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int = 8, whole: int = 2,
             margins = np.where(fresh, (np.add.reduceat(margin[where], np.cumsum(sizes[used]) - sizes[used]) / sizes[used])[back], 0.0)
             upto = np.concatenate(([0.0], np.cumsum(margins)))
             base = np.cumsum(counts) - counts
-            if epoch < whole:
-                first, last = base, base + counts
+            if epoch < max(2, epochs // 4):
+                first, last, whose, share = base, base + counts, np.arange(len(own)), np.ones(len(own))
             else:
                 start, end, owner = _windows(counts)
-                mean = (upto[end] - upto[start]) / np.maximum(1, end - start)
-                order = np.lexsort((-mean, owner))
-                top = order[np.searchsorted(owner[order], np.arange(len(own)))]
-                first, last = start[top], end[top]
-            n = np.maximum(1, last - first)
-            p = 1 / (1 + np.exp(-np.clip((upto[last] - upto[first]) / n + model.bias[1] - model.bias[0], -60, 60)))
-            g = (p - truth[chosen]) / len(own)
+                top, share = _top_windows((upto[end] - upto[start]) / np.maximum(1, end - start), owner, len(own))
+                first, last, whose = start[top], end[top], owner[top]
+            n = np.maximum(1, last - first) * share
+            logit = np.bincount(whose, weights=(upto[last] - upto[first]) / n, minlength=len(own)) + model.bias[1] - model.bias[0]
+            g = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - truth[chosen]) / len(own)
             delta = np.zeros(len(tokens) + 1)
-            np.add.at(delta, first, g / n)
-            np.subtract.at(delta, last, g / n)
+            np.add.at(delta, first, g[whose] / n)
+            np.subtract.at(delta, last, g[whose] / n)
             by_word = np.bincount(back, weights=np.cumsum(delta)[:-1] * fresh, minlength=len(used)) / sizes[used]
             pull = np.bincount(where, weights=np.repeat(by_word, sizes[used]), minlength=len(live))
             g_slope = np.einsum("b,bd->d", pull, vectors)
             g_softmax = np.stack([-g_slope, g_slope], axis=1)
             g_bias = np.array([-g.sum(), g.sum()])
             square[0][live] += pull**2 * (slope**2).sum()
-            model.embeddings[live] -= rate * (pull / np.sqrt(square[0][live]))[:, None] * slope
+            model.embeddings[live] *= 1 - step * DECAY
+            model.embeddings[live] -= step * (pull / np.sqrt(square[0][live]))[:, None] * slope
             for value, s, grad in ((model.softmax, square[1], g_softmax), (model.bias, square[2], g_bias)):
                 s += grad**2
-                value -= rate * grad / np.sqrt(s)
+                value -= step * grad / np.sqrt(s)
     model.version = f"{hash(model.embeddings.tobytes())}"
     return model
 
