@@ -27,7 +27,9 @@ BITS, LOW, HIGH, DIM, WINDOW = 17, 3, 5, 16, 16
 #: The most toxic windows that count: a share of a text's windows, at least and at most so many.
 SHARE, LEAST, MOST = 0.2, 3, 32
 #: How much of the embeddings that a batch touches decays, times its step.
-DECAY = 0.002
+DECAY = 0.001
+#: The bias answers for all texts at once and moves by so many times the step.
+BIAS_SPEED = 8.0
 #: Bounds of the training sample: labelled texts per class and characters of a text that may be in it.
 TEXTS_PER_CLASS, MAX_TRAIN_CHARS = 2_000, 20_000
 _WORD = re.compile(r"\w{1,64}")
@@ -159,9 +161,9 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int | None = None, batch
             square[0][live] += pull**2 * (slope**2).sum()
             model.embeddings[live] *= 1 - step * DECAY
             model.embeddings[live] -= step * (pull / np.sqrt(square[0][live]))[:, None] * slope
-            for value, s, grad in ((model.softmax, square[1], g_softmax), (model.bias, square[2], g_bias)):
+            for value, s, grad, speed in ((model.softmax, square[1], g_softmax, 1.0), (model.bias, square[2], g_bias, BIAS_SPEED)):
                 s += grad**2
-                value -= step * grad / np.sqrt(s)
+                value -= speed * step * grad / np.sqrt(s)
     model.version = f"{hash(model.embeddings.tobytes())}"
     return model
 
