@@ -188,3 +188,15 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("rows", [DOCS, []])
+def test_stages_stand_odd_documents(spark, rows):
+    """Nulls in every column, repeated rows, long texts, and no rows at all."""
+    d = spark.createDataFrame([(i, t, None if k % 2 else "en", None if k % 3 else "s", None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, "/root/testdata/sf0.001")
+        assert out.schema.simpleString() == d.schema.simpleString()
+        d = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in d.collect()}
