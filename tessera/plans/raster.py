@@ -29,7 +29,7 @@ def _bands() -> dict:
     return {b: F.col(b) for b in ("nir", "red", "green", "blue", "rededge", "swir1", "swir2")}
 
 
-@query(f"WITH {PIXELS} SELECT t::VARCHAR AS t, " + ", ".join(f"round(median({sql}), 9) AS {name}" for name, sql in _SQL.items()) + " FROM pixels WHERE year(t) = 1997 GROUP BY 1")
+@query(f"WITH {PIXELS} SELECT t::VARCHAR AS t, " + ", ".join(f"round(median({sql}), 9) + 0 AS {name}" for name, sql in _SQL.items()) + " FROM pixels WHERE year(t) = 1997 GROUP BY 1")
 def spectral_indices(spark, sf_dir):
     """All indices in one projection, told as each day's medians."""
     px = pixels(spark, sf_dir).where("year(t) = 1997")

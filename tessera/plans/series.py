@@ -109,7 +109,7 @@ def _signals(spark, sf_dir):
 _EQUITY = f"{_BACK}, n AS (SELECT *, position * ret - turn * 15 / 1e4 AS net FROM t), e AS (SELECT *, product(1 + net) OVER ({W} ROWS UNBOUNDED PRECEDING) AS equity FROM n)"
 
 
-@query(f"WITH {_EQUITY} SELECT k, bar_start, position, round(ret, 6) AS ret, round(net, 6) AS net, round(ln(equity), 6) AS log_equity FROM e")
+@query(f"WITH {_EQUITY} SELECT k, bar_start, position, round(ret, 6) AS ret, round(net, 6) + 0 AS net, round(ln(equity), 6) + 0 AS log_equity FROM e")
 def equity_curve(spark, sf_dir):
     out = series.backtest(_signals(spark, sf_dir), "k", "bar_start", fee_bps=10, slippage_bps=5).withColumn("log_equity", F.ln("equity"))
     return rounded(out, "ret", "net", "log_equity").select("k", "bar_start", "position", "ret", "net", "log_equity")
