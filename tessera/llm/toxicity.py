@@ -3,8 +3,8 @@
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the whole word, so a
 misspelt word shares most of its vector with the words it resembles. A text is read in half-overlapping windows
 of WINDOW words; a window's vector is the mean of its words' vectors and goes through the softmax. A word that
-came up less than WINDOW words before counts as a zero vector, so that repetition says nothing. The text's
-margin is the mean over its most toxic windows, a fifth of them but 3 to 32: how dense toxic words are counts,
+came up less than WINDOW words before is left out before windows are cut, so that repetition adds nothing and
+takes nothing away. The text's margin is the mean over its most toxic windows, a fifth of them but 3 to 32: how dense toxic words are counts,
 up to a passage of some hundred words in a text of any length. The first training epochs average over whole
 texts, the later ones follow each text's most toxic windows.
 """
@@ -66,6 +66,12 @@ def _fresh(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return fresh
 
 
+def _collapsed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that are fresh, and how many of them each text has."""
+    fresh = _fresh(words, counts)
+    return words[fresh], np.bincount(np.repeat(np.arange(len(counts)), counts)[fresh], minlength=len(counts))
+
+
 def _words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     words, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -96,7 +102,8 @@ class SubwordModel:
         margins = np.zeros(0)
         if words:
             rows, table = cache.lookup(words)
-            margins = np.where(_fresh(rows, counts), table[rows], 0.0)
+            rows, counts = _collapsed(rows, counts)
+            margins = table[rows]
         start, end, owner = _windows(counts)
         upto = np.concatenate(([0.0], np.cumsum(margins)))
         mean = (upto[end] - upto[start]) / np.maximum(1, end - start)
@@ -117,6 +124,7 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int | None = None, batch
         return model
     vocabulary: dict[str, int] = {}
     texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words([t])[0]], np.int64) for t, _ in rows]
+    texts = [_collapsed(x, np.array([len(x)]))[0] for x in texts]
     truth = np.array([y for _, y in rows], float)
     ids, sizes = char_ngrams(list(vocabulary), LOW, HIGH, BITS)
     ends = np.cumsum(sizes)
@@ -137,8 +145,7 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int | None = None, batch
             live, where = np.unique(buckets, return_inverse=True)
             vectors = model.embeddings[live]
             margin = np.einsum("bd,d->b", vectors, slope)
-            fresh = _fresh(tokens, counts)
-            margins = np.where(fresh, (np.add.reduceat(margin[where], np.cumsum(sizes[used]) - sizes[used]) / sizes[used])[back], 0.0)
+            margins = (np.add.reduceat(margin[where], np.cumsum(sizes[used]) - sizes[used]) / sizes[used])[back]
             upto = np.concatenate(([0.0], np.cumsum(margins)))
             base = np.cumsum(counts) - counts
             if epoch < max(2, epochs // 4):
@@ -153,7 +160,7 @@ def train_subwords(rows: list[tuple[str, int]], epochs: int | None = None, batch
             delta = np.zeros(len(tokens) + 1)
             np.add.at(delta, first, g[whose] / n)
             np.subtract.at(delta, last, g[whose] / n)
-            by_word = np.bincount(back, weights=np.cumsum(delta)[:-1] * fresh, minlength=len(used)) / sizes[used]
+            by_word = np.bincount(back, weights=np.cumsum(delta)[:-1], minlength=len(used)) / sizes[used]
             pull = np.bincount(where, weights=np.repeat(by_word, sizes[used]), minlength=len(live))
             g_slope = np.einsum("b,bd->d", pull, vectors)
             g_softmax = np.stack([-g_slope, g_slope], axis=1)

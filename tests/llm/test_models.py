@@ -166,6 +166,18 @@ def test_misspelt_insult_is_caught():
     assert (model.score([text([]) for _ in range(50)], cache) < 0.5).mean() > 0.95
 
 
+def test_repetition_takes_nothing_away():
+    """A text of one insult again and again, or with a run of it, scores like the text with the insult once."""
+    model = toxicity.SubwordModel(np.zeros((1 << toxicity.BITS, toxicity.DIM)), np.zeros((toxicity.DIM, 2)), np.zeros(2))
+    model.word_margins = lambda words: np.array([3.0 if w == "idiot" else -0.1 for w in words])
+    cache = WordCache(model.word_margins)
+    calm = [f"w{i}" for i in range(24)]
+    once, often = " ".join([*calm[:12], "idiot", *calm[12:]]), " ".join([*calm[:12], *["idiot"] * 400, *calm[12:]])
+    alone, throughout, run, single = model.score(["idiot", "idiot " * 400, often, once], cache)
+    assert throughout == pytest.approx(alone) and throughout > 0.9
+    assert run == pytest.approx(single)
+
+
 def test_pipeline_stages_follow_their_operators(spark):
     base = table(spark, SMALL, "documents")
     d = base.union(base.where("doc_id < 30").select((F.col("doc_id") + 100_000).alias("doc_id"), F.replace("text", F.lit(" "), F.lit("\n")), "lang", "source", "n_chars"))
