@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tessera.functions import air, geo, spectral
 from tessera.functions import text as tx
 from tessera.operators import events, graph, metrics, models, quality, raster, series, spatial, text, trend
 from tessera.operators.layers import Model, build_models
+from tessera.plans import graph as plans
 from tessera.sources import sinks, tables
 
 
@@ -195,6 +197,44 @@ def test_betweenness_of_a_path_and_a_star(spark):
     assert {r["id"]: r["betweenness"] for r in graph.betweenness(star, normalised=True).collect()}[0] == pytest.approx(1.0)
 
 
+def test_graph_queries_without_sql_take_the_whole_graph(spark, data):
+    """Against brute force on every trading pair and chain of the smallest tables."""
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        con.execute(f"create view {name} as select * from '{data}/{name}.parquet'")
+    pairs = con.execute("SELECT DISTINCT l_suppkey + 1000, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey").fetchall()
+    last = con.execute("SELECT max(s_suppkey) FROM supplier").fetchone()[0]
+    pairs += [(k + 1000, k + 1001) for (k,) in con.execute("SELECT s_suppkey FROM supplier").fetchall() if k % 4 and k < last]
+    assert plans.whole(spark, data).count() == len(pairs)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    core, left, k = {}, {v: set(x) for v, x in near.items()}, 0
+    while left:
+        gone = [v for v, x in left.items() if len(x) <= k]
+        core |= dict.fromkeys(gone, k)
+        left = {v: x - set(gone) for v, x in left.items() if v not in core}
+        k += not gone
+    assert {r["id"]: r["core"] for r in plans.k_core(spark, data).collect()} == core
+
+    far, ways = {}, {}
+    for s in near:
+        far[s], ways[s], level = {s: 0}, {s: 1}, [s]
+        while level:
+            ahead = {w for v in level for w in near[v]} - far[s].keys()
+            for w in ahead:
+                ways[s][w] = sum(ways[s][v] for v in level if w in near[v])
+            far[s] |= dict.fromkeys(ahead, far[s][level[0]] + 1)
+            level = list(ahead)
+    between = {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in far[v] for t in far[v] if s < t and v not in (s, t) and far[s][v] + far[v][t] == far[s][t]) for v in near}
+    got = {r["id"]: r["betweenness"] for r in plans.betweenness(spark, data).collect()}
+    assert got == pytest.approx(between, abs=1e-4)
+    largest = min((far[s] for s in near), key=lambda c: (-len(c), min(c)))
+    assert {r["id"] for r in plans.largest_component(spark, data).collect()} == set(largest)
+
+
 def test_nearest_source_refuses_negative_costs(spark):
     with pytest.raises(ValueError):
         graph.nearest_source(spark.createDataFrame([(0, 1, -1.0)], "src long, dst long, cost double"), spark.createDataFrame([(0,)], "id long"))
