@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,38 +143,49 @@ def extractive_answer(ranked: DataFrame, query: str, doc: str, chunk: str) -> Da
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vec_id: str, vector: str = "embedding") -> DataFrame:
-    """Exact top k by cosine for a bounded set of queries against all vectors: (query, vec, score, rank).
+    """Exact top k by cosine of all queries against all vectors: (query, vec, score, rank).
 
-    The queries are broadcast as one matrix, so each task scores its vectors by a product and keeps k a query;
-    the tasks' winners are merged by rank. Queries beyond BLOCK are worked through in blocks.
+    Queries come to the driver in blocks of QUERY_BLOCK. A block is broadcast as one matrix, so each task scores its
+    vectors by a product, a few queries at a time, and keeps k a query a batch; the winners are merged by rank.
     """
     import numpy as np
     import pandas as pd
 
-    rows = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v")).orderBy("_q").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries at a time")
-    ids = np.array([r["_q"] for r in rows])
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    matrix = queries.sparkSession.sparkContext.broadcast(unit(np.array([r["_v"] for r in rows], float)))
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = batch["_i"].to_numpy()
-            scores = np.einsum("qd,vd->qv", matrix.value, unit(np.stack(batch["_v"].to_numpy()).astype(float)))
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-            yield pd.DataFrame({query_id: np.repeat(ids, order.shape[1]), vec_id: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
+    def scorer(ids, matrix):
+        def run(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                keys, rows = batch["_i"].to_numpy(), unit(np.stack(batch["_v"].to_numpy()).astype(float))
+                few, top = max(1, SCORES // len(keys)), min(k, len(keys))
+                for at in range(0, len(ids), few):
+                    scores = np.einsum("qd,vd->qv", matrix.value[at : at + few], rows)
+                    rounded = np.round(scores, 9)
+                    # all that reach the score of the last place, so that ties are settled by key
+                    q, v = np.nonzero(rounded >= np.partition(rounded, len(keys) - top, axis=1)[:, len(keys) - top, None])
+                    order = np.lexsort((keys[v], -rounded[q, v], q))
+                    q, v = q[order], v[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < top
+                    yield pd.DataFrame({query_id: ids[at + q[best]], vec_id: keys[v[best]], "score": scores[q[best], v[best]]})
+
+        return run
+
+    spark = queries.sparkSession
     q, v = queries.schema[query_id].dataType.simpleString(), vectors.schema[vec_id].dataType.simpleString()
-    best = vectors.select(F.col(vec_id).alias("_i"), F.col(vector).alias("_v")).mapInPandas(run, f"{query_id} {q}, {vec_id} {v}, score double")
+    schema = f"{query_id} {q}, {vec_id} {v}, score double"
+    source = vectors.select(F.col(vec_id).alias("_i"), F.col(vector).alias("_v"))
+    best, left = spark.createDataFrame([], schema), queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v")).toLocalIterator()
+    while rows := list(islice(left, QUERY_BLOCK)):
+        block = spark.sparkContext.broadcast(unit(np.array([r["_v"] for r in rows], float)))
+        best = best.unionByName(source.mapInPandas(scorer(np.array([r["_q"] for r in rows]), block), schema))
     w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), vec_id)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries that one call of cosine_topk takes; bounds its broadcast.
-QUERY_BLOCK = 10_000
+#: Queries in a block of cosine_topk, which bounds a broadcast; scores that a task holds at once.
+QUERY_BLOCK, SCORES = 10_000, 2_000_000
 
 
 def mmr(pool: DataFrame, k: int, query: str, item: str, vector: str, relevance: str, weight: float = 0.5) -> DataFrame:

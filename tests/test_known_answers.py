@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tessera.catalogue import QUERIES
 from tessera.functions import air, geo, spectral
 from tessera.functions import text as tx
 from tessera.operators import events, graph, metrics, models, quality, raster, series, spatial, text, trend
@@ -297,6 +298,27 @@ def test_models(spark):
     assert ci["low"] < ci["mean"] < ci["high"] and ci["high"] - ci["low"] == pytest.approx(4 * x[:, 0].std() / math.sqrt(200), rel=0.3)
 
 
+def test_cosine_topk_takes_queries_in_blocks(spark, monkeypatch):
+    """Seven blocks of queries, a few scored at a time, against brute force; every vector occurs twice, so that ties count."""
+    monkeypatch.setattr(text, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(text, "SCORES", 20)
+    m = np.repeat(np.random.default_rng(3).normal(size=(10, 4)), 2, axis=0)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "i long, embedding array<double>")
+    got = {(r["q"], r["rank"]): (r["i"], r["score"]) for r in text.cosine_topk(df.withColumnRenamed("i", "q"), df, 3, "q", "i").collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = u @ u.T
+    for q in range(20):
+        for rank, i in enumerate(sorted(range(20), key=lambda i: (-round(scores[q, i], 9), i))[:3], 1):
+            assert got.pop((q, rank)) == (i, pytest.approx(scores[q, i]))
+    assert not got
+    assert text.cosine_topk(df.where("i < 0").withColumnRenamed("i", "q"), df, 3, "q", "i").collect() == []
+
+
+def test_mmr_select_takes_every_twentieth_vector(spark, data):
+    ids = {r[0] for r in tables.table(spark, data, "embeddings").where("vec_id % 20 = 0").select("vec_id").collect()}
+    assert {r["q"] for r in QUERIES["mmr_select"](spark, data).select("q").distinct().collect()} == ids
+
+
 def test_mmr_prefers_a_different_item(spark):
     pool = spark.createDataFrame([("q", 0, [1.0, 0.0], 0.9), ("q", 1, [1.0, 0.01], 0.89), ("q", 2, [0.0, 1.0], 0.5)], "q string, i int, v array<double>, rel double")
     assert [r["i"] for r in text.mmr(pool, 2, "q", "i", "v", "rel").orderBy("pick").collect()] == [0, 2]
