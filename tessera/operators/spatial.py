@@ -99,17 +99,26 @@ def _cells(df: DataFrame, lat: str, lon: str, degrees: float) -> DataFrame:
     return df.withColumns({"_r": F.floor(F.col(lat) / degrees), "_c": F.floor(F.col(lon) / degrees)})
 
 
+def _globe_cells(df: DataFrame, lat: str, lon: str, degrees: float) -> DataFrame:
+    """Rows of ``degrees``; columns a whole number round the globe, at least as wide."""
+    columns = max(1, int(360 / degrees))
+    return df.withColumns({"_r": F.floor(F.col(lat) / degrees), "_c": F.pmod(F.floor(F.pmod(F.col(lon), F.lit(360.0)) / (360 / columns)), F.lit(columns))})
+
+
 def within_distance(a: DataFrame, b: DataFrame, km: float, a_id: str, b_id: str) -> DataFrame:
-    """(a_id, b_id, km) of all pairs of points ``lat, lon`` within a distance, away from the poles and the date line.
+    """(a_id, b_id, km) of all pairs of points ``lat, lon`` within a distance.
 
-    Cells are as large as the distance at the widest latitude of 60 degrees; b is put into its nine cells. Beyond
-    that latitude east-west cells are visited as far as the distance reaches.
+    b is put into the cells that its circle can touch: three rows, and columns as far as the circle reaches east and
+    west, across the date line too; all columns where the circle holds a pole.
     """
     degrees = km / (EARTH_RADIUS_KM * 3.141592653589793 / 180)
-    reach = F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + degrees, F.lit(89.0)))), F.lit(0.02))).cast("int")
-    spread = _cells(b, "lat", "lon", degrees).select(F.col(b_id), F.col("lat").alias("blat"), F.col("lon").alias("blon"), "_r", "_c", reach.alias("_n"))
-    spread = spread.select(b_id, "blat", "blon", F.explode(F.sequence(F.col("_r") - 1, F.col("_r") + 1)).alias("_r"), "_c", "_n").select(b_id, "blat", "blon", "_r", F.explode(F.sequence(F.col("_c") - F.col("_n"), F.col("_c") + F.col("_n"))).alias("_c"))
-    pairs = _cells(a, "lat", "lon", degrees).join(spread, ["_r", "_c"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon")))
+    columns = max(1, int(360 / degrees))
+    wide = F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(degrees))) / F.cos(F.radians("lat")), F.lit(1.0))))
+    reach = F.when(F.abs("lat") + degrees >= 90, columns).otherwise(F.floor(wide / (360 / columns)) + 1)
+    spread = _globe_cells(b, "lat", "lon", degrees).select(F.col(b_id), F.col("lat").alias("blat"), F.col("lon").alias("blon"), "_r", "_c", reach.alias("_n"))
+    around = F.when(2 * F.col("_n") + 1 >= columns, F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).otherwise(F.sequence(F.col("_c") - F.col("_n"), F.col("_c") + F.col("_n")))
+    spread = spread.select(b_id, "blat", "blon", F.explode(F.sequence(F.col("_r") - 1, F.col("_r") + 1)).alias("_r"), around.alias("_c")).select(b_id, "blat", "blon", "_r", F.explode("_c").alias("_c")).withColumn("_c", F.pmod("_c", F.lit(columns)))
+    pairs = _globe_cells(a, "lat", "lon", degrees).join(spread, ["_r", "_c"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon")))
     return pairs.where(F.col("km") <= km).select(a_id, b_id, "km")
 
 

@@ -298,6 +298,24 @@ def test_models(spark):
     assert ci["low"] < ci["mean"] < ci["high"] and ci["high"] - ci["low"] == pytest.approx(4 * x[:, 0].std() / math.sqrt(200), rel=0.3)
 
 
+def test_distances_cross_the_date_line_and_the_poles(spark):
+    """All pairs against brute force, each once; a place at 179.9 E is nearest to a facility at 179.9 W."""
+    rng = np.random.default_rng(11)
+    at = lambda n: [(float(y), float(x)) for y, x in zip(np.concatenate((rng.uniform(-90, 90, n), rng.uniform(88, 90, n), rng.uniform(-5, 5, n))), np.concatenate((rng.uniform(-180, 180, 2 * n), rng.choice([-1, 1], n) * rng.uniform(178, 180, n))), strict=True)]
+    left, right = at(40), at(40)
+    frame = lambda rows, k: spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate(rows)], f"{k} long, lat double, lon double")
+
+    def far(p, q):
+        (y, x), (v, u) = np.radians(p), np.radians(q)
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
+
+    for km in (150.0, 2_000.0, 15_000.0):
+        got = sorted((r["p"], r["f"]) for r in spatial.within_distance(frame(left, "p"), frame(right, "f"), km, "p", "f").collect())
+        assert got == [(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if far(p, q) <= km]
+    near = spatial.nearest_facility(frame([(0.0, 179.9)], "p"), frame([(0.0, 179.4), (0.0, -179.9)], "f"), "p", "f")
+    assert one(near)["nearest_id"] == 1 and one(near)["nearest_km"] == pytest.approx(22.24, abs=0.01)
+
+
 def test_cosine_topk_takes_queries_in_blocks(spark, monkeypatch):
     """Seven blocks of queries, a few scored at a time, against brute force; every vector occurs twice, so that ties count."""
     monkeypatch.setattr(text, "QUERY_BLOCK", 3)
