@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that an Arrow-batched operator works on at once; bounds a Python worker's memory.
@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; fall back to a local folder only where it is unset and Spark is local."""
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint's files go when nothing refers to it any more
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -58,22 +59,41 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = C
             yield batch.slice(start), texts
 
 
+def smallest_by_hash(ids: DataFrame, per_key: int, max_keys: int) -> DataFrame:
+    """At most ``per_key`` different ``_id`` of each ``_key``: those with the smallest hash. ``ids``: (_id, _key).
+
+    Of more than ``max_keys`` keys, the most frequent ones count. Keys are counted first; then a bound on the
+    hash lets some more than ``per_key`` ids of each key through to the ranking, whatever the size of ``ids``.
+    """
+    counts = ids.groupBy("_key").agg(F.approx_count_distinct("_id").alias("n")).orderBy(F.desc("n"), "_key").limit(max_keys).collect()
+    whole, wanted = (1 << 63) - 1, 1.5 * per_key + 12 * per_key**0.5
+    bounds = [(r["_key"], int(min(1.0, wanted / max(1, r["n"])) * (1 << 53)) * (1 << 10) - 1) for r in counts]
+    few = ids.sparkSession.createDataFrame(bounds, f"_bounded {ids.schema['_key'].dataType.simpleString()}, _bound long")
+    hashed = ids.withColumn("_hash", F.xxhash64("_id").bitwiseAND(F.lit(whole)))
+    near = hashed.join(F.broadcast(few), F.col("_key") == F.col("_bounded")).where(F.col("_hash") <= F.col("_bound"))  # at most max_keys rows
+    order = Window.partitionBy("_key").orderBy("_hash", "_id")
+    return near.select("_id", "_key", "_hash").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_key).select("_id", "_key")
+
+
+def text_slice(text: str, id_col: str, limit: int) -> Column:
+    """A text of at most ``limit`` characters, or so many of a longer one from a place that a hash of the id chooses."""
+    n, begin = F.length(text), F.pmod(F.xxhash64(id_col), F.greatest(F.length(text) - limit + 1, F.lit(1)))
+    return F.when(n <= limit, F.col(text)).otherwise(F.substr(F.col(text), (begin + 1).cast("int"), F.lit(limit)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, per_class: int, max_chars: int) -> list[tuple[str, int, int]]:
     """(text, label, doc_id) of at most ``per_class`` labelled rows of either class, chosen by a hash of the id.
 
-    Only ids of ``eligible`` rows are used. Texts over ``max_chars`` characters are left out of the sample
-    (never out of scoring), so that the driver holds at most ``2 * per_class * max_chars`` characters.
-    A document that occurs more than once, or whose labels disagree, counts once per distinct (text, label).
+    Only ids of ``eligible`` rows that have a text are chosen from. Of a text over ``max_chars`` characters a slice
+    is learnt from (scoring reads it whole), so that the driver holds at most ``2 * per_class * max_chars``
+    characters. A document that occurs more than once, or whose labels disagree, counts once per (id, label).
     """
-    ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
+    ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_key")).where(F.col("_id").isNotNull() & F.col("_key").isin(0, 1))
     ids = ids.withColumnRenamed("_id", "doc_id").where(eligible).withColumnRenamed("doc_id", "_id")
-    by_hash = F.xxhash64("_id")
-    picked = None
-    for y in (0, 1):
-        part = ids.where(F.col("_y") == y).orderBy(by_hash, "_id").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
+    ids = checkpoint(ids.join(texts.select("doc_id"), F.col("_id") == F.col("doc_id"), "left_semi"))
     # at most 2 * per_class (id, label) pairs: a proven bound for the broadcast
-    chosen = F.broadcast(picked.distinct())
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(chosen, F.col("doc_id") == F.col("_id"))
+    chosen = F.broadcast(smallest_by_hash(ids, per_class, 2).withColumnRenamed("_key", "_y"))
+    rows = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "_y", text_slice("text", "doc_id", max_chars).alias("text"))
     rows = rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
     return sorted(((r["text"], r["_y"], r["doc_id"]) for r in rows.collect()), key=lambda r: (r[2], r[1]))

@@ -4,7 +4,7 @@ Each word's emission scores come from hashed character n-grams (those that touch
 affixes), the whole word, and membership in each language's lexicon of frequent words. Transitions are learnt
 on code-switched sequences, made from runs of words of training texts in different languages. A text's
 words get their posterior language shares by forward-backward over the whole text; the text's language is the
-one with the largest mean share.
+one with the largest mean share. Runs of more than 64 letters are read as words of 64 letters and a rest.
 """
 
 from __future__ import annotations
@@ -13,20 +13,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import text_chunks
+from ._runtime import checkpoint, smallest_by_hash, text_chunks, text_slice
 from ._words import WordCache, cache_for, char_ngrams
 
 UNDETERMINED = "und"
 BITS, LOW, HIGH = 17, 1, 4
-#: Bounds of the training sample: texts per language and characters of a text that may be in it.
-TEXTS_PER_LANGUAGE, MAX_TRAIN_CHARS = 400, 20_000
+#: Bounds of the training sample: texts per language, characters of a text that are read (a slice, chosen by a hash, of a longer one), languages.
+TEXTS_PER_LANGUAGE, MAX_TRAIN_CHARS, MAX_LANGUAGES = 400, 20_000, 64
 LEXICON = 500
 #: Words per block of the forward-backward scan.
 BLOCK = 32
@@ -51,7 +50,7 @@ class CrfModel:
         if not words:
             return np.zeros((0, len(self.languages)))
         ids, counts = char_ngrams(words, LOW, HIGH, BITS)
-        scores = np.add.reduceat(self.features[ids], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
+        scores = np.add.reduceat(self.features[ids], np.cumsum(counts) - counts, axis=0, dtype=float) / np.sqrt(counts)[:, None]
         for i, word in enumerate(words):
             bits = self.lexicon.get(word, 0)
             k = 0
@@ -63,8 +62,8 @@ class CrfModel:
         return scores
 
 
-def _scan(model: CrfModel, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sum of each text's posterior language shares; ``scores`` are the emissions of all words, ``counts`` the words of each text (none 0).
+def _scan(model: CrfModel, scores: np.ndarray, counts: np.ndarray, by_word: bool = False) -> np.ndarray:
+    """Sum of each text's posterior language shares, or those of each word; ``scores`` are the emissions of all words, ``counts`` the words of each text (none 0).
 
     Exact forward-backward. Texts are cut into blocks of BLOCK words; the blocks' transfer matrices are
     multiplied in parallel, a scan over each text's blocks carries the messages between them, and a second
@@ -125,10 +124,11 @@ def _scan(model: CrfModel, scores: np.ndarray, counts: np.ndarray) -> np.ndarray
         both = messages[t] * beta
         both /= both.sum(axis=1, keepdims=True)
         shares += np.where(real[t][:, None], both, 0)
+        messages[t] = both
         moved = np.matmul(beta * emit[t], step.T)
         moved /= moved.max(axis=1, keepdims=True)
         beta = np.where(real[t][:, None], moved, beta)
-    return np.add.reduceat(shares, first_block, axis=0)
+    return messages[col, row] if by_word else np.add.reduceat(shares, first_block, axis=0)
 
 
 def _code_switched(texts: list[list[str]], langs: list[int], n: int, rng) -> tuple[list[list[str]], list[list[int]]]:
@@ -201,8 +201,9 @@ def train_crf(rows: list[tuple[str, str]], sequences: int = 3_000, epochs: int =
     coded = [[vocabulary.setdefault(w, len(vocabulary)) for w in s] for s in seqs]
     ids, counts = char_ngrams(list(vocabulary), LOW, HIGH, BITS)
     ends = np.cumsum(counts)
-    bits = np.array([lexicon.get(w, 0) for w in vocabulary])
-    in_lexicon = (bits[:, None] >> np.arange(k) & 1).astype(float)
+    size = (k + 7) // 8
+    bits = np.frombuffer(b"".join(lexicon.get(w, 0).to_bytes(size, "little") for w in vocabulary), np.uint8).reshape(-1, size)
+    in_lexicon = np.unpackbits(bits, axis=1, count=k, bitorder="little").astype(float)
     squares = [np.full_like(x, 1e-6) for x in (model.features, model.lexicon_weights, model.transitions, model.start)]
     for _ in range(epochs):
         order = rng.permutation(len(seqs))
@@ -231,6 +232,7 @@ def train_crf(rows: list[tuple[str, str]], sequences: int = 3_000, epochs: int =
                 g = g / len(chosen) + 1e-7 * value
                 square += g * g
                 value -= rate * g / np.sqrt(square)
+    model.features = model.features.astype(np.float32)
     model.version = f"{hash(model.features.tobytes())}-{hash(model.transitions.tobytes())}"
     return model
 
@@ -257,30 +259,29 @@ def predict_texts(model: CrfModel, texts: list[str], cache: WordCache | None = N
     return out, share
 
 
-def training_rows(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_language`` (text, language) rows of each language, chosen by a hash of the id among ``eligible`` rows.
+def training_rows(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, max_chars: int = MAX_TRAIN_CHARS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
+    """At most ``per_language`` (text, language) rows of each language, chosen by a hash of the id among ``eligible`` rows with a text.
 
-    Ids are chosen without their texts; then the chosen ids, a bounded set, fetch theirs. Chosen texts that are
-    null or over ``max_chars`` characters are left out of the sample (never out of predictions).
+    Of a text over ``max_chars`` characters a slice is learnt from (predictions read it whole). With more than
+    ``max_languages`` languages the most frequent ones are learnt. An empty table gives an empty list.
     """
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & eligible).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    languages = sorted(r[0] for r in ids.select("_lang").distinct().collect())
-    if not languages:
-        return []
-    picked = [ids.where(F.col("_lang") == lang).distinct().orderBy(F.xxhash64("_id"), "_id").limit(per_language) for lang in languages]
-    chosen = F.broadcast(reduce(DataFrame.unionByName, picked))
-    texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
-    rows = texts.join(chosen, (F.col("_i") == F.col("_id")) & (F.col("_l") == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min("_t").alias("_t")).collect()
-    return [(r["_t"], r["_lang"]) for r in sorted(rows, key=lambda r: (r["_lang"], r["_id"]))]
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0) & eligible)
+    usable = usable.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
+    ids = checkpoint(usable.select(F.col("_i").alias("_id"), F.col("_l").alias("_key")))
+    chosen = F.broadcast(smallest_by_hash(ids, per_language, max_languages))  # at most max_languages x per_language rows
+    found = usable.join(chosen, (F.col("_i") == F.col("_id")) & (F.col("_l") == F.col("_key"))).select("_i", "_l", text_slice("_t", "_i", max_chars).alias("_t"))
+    rows = found.groupBy("_i", "_l").agg(F.min("_t").alias("_t")).collect()
+    return [(r["_t"], r["_l"]) for r in sorted(rows, key=lambda r: (r["_l"], r["_i"]))]
 
 
 def identify(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score.
 
-    Texts that are null, empty or without a letter are ``und`` with score 0. Ties between languages go to the
-    first in sorted order. Repeated rows get equal results; other columns are ignored.
+    Texts that are null, empty or without a letter are ``und`` with score 0. Texts of any length are read whole.
+    Ties between languages go to the first in sorted order. Repeated rows get equal results; an empty table
+    gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**BITS x languages doubles
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**BITS x MAX_LANGUAGES floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -291,3 +292,36 @@ def identify(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col:
 
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+
+
+def label_words(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per word of each row of ``docs``: id, position (from 0), word (lower-cased), lang, share.
+
+    The labels of code-switched text: each word's language with the largest posterior by forward-backward over the
+    whole text, and that posterior; ties go to the first in sorted order. Texts that are null, empty or without a
+    letter have no word, and so has every text of a model without languages. Repeated rows are labelled each; other columns are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**BITS x MAX_LANGUAGES floats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        names = np.array(model.languages, object)
+        cache = cache_for(("crf", model.version), lambda: WordCache(model.emissions))
+        for part, texts in text_chunks(batches, "_text"):
+            words, counts = [], np.zeros(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                own = words_of(text)
+                counts[i] = len(own)
+                words += own
+            if not words or not len(names):
+                continue
+            rows, values = cache.lookup(words)
+            shares = _scan(model, values[rows], counts[counts > 0], by_word=True)
+            best = shares.argmax(axis=1)
+            owner = np.repeat(np.arange(len(texts)), counts)
+            position = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [part.column(0).take(pa.array(owner)), pa.array(position), pa.array(words), pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(shares[np.arange(len(best)), best], 0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "position", "word", "lang", "share"])
+
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, position long, word string, lang string, share double").withColumnRenamed("_id", id_col)

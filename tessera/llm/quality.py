@@ -3,7 +3,8 @@
 Tokens are runs of word characters and runs of other visible characters. A text's features are hashed unigrams
 and bigrams of lower-cased tokens, hashed n-grams (1 to 3) of token shapes, and back-references: n-grams whose
 last token repeats the one 1 to 8 places before. Every feature's value is its count over the text's number of
-tokens, so a score is a sparse dot product that does not depend on a text's length.
+tokens, so a score is a sparse dot product that does not depend on a text's length. Runs of more than 64
+characters of a kind are read as tokens of 64 characters and a rest.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ._runtime import labelled_sample, text_chunks
 from ._words import WordCache, cache_for, mix
 
 BITS, BACK = 18, 8
-#: Bounds of the training sample: labelled texts per class and characters of a text that may be in it.
+#: Bounds of the training sample: labelled texts per class, and characters of a text that are read (a slice, chosen by a hash, of a longer one).
 TEXTS_PER_CLASS, MAX_TRAIN_CHARS = 1_500, 20_000
 _TOKEN = re.compile(r"\w{1,64}|[^\w\s]{1,64}")
 
@@ -78,6 +79,8 @@ def _tokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
 class LogisticModel:
     weights: np.ndarray
     bias: float
+    #: Whether both classes were learnt from; if not, the score is a constant.
+    trained: bool = True
 
     def score(self, texts: list[str], cache: WordCache) -> np.ndarray:
         tokens, counts = _tokens(texts)
@@ -96,7 +99,7 @@ def train_ftrl(rows: list[tuple[str, int]], epochs: int = 4, alpha: float = 1.0,
     """Fit on (text, label) rows. With one class or none in the sample, the score is constant: that class, or 0.5."""
     labels = {y for _, y in rows}
     if len(labels) < 2:
-        return LogisticModel(np.zeros(1 << BITS), 0.0 if not labels else 4.0 if labels == {1} else -4.0)
+        return LogisticModel(np.zeros(1 << BITS), 0.0 if not labels else 4.0 if labels == {1} else -4.0, False)
     cache, examples = WordCache(token_hashes, limit=1 << 62), []
     for text, y in rows:
         tokens, _ = _tokens([text])
@@ -134,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "qual
 def score(docs: DataFrame, model: LogisticModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` rows as id, score (0 to 1; higher: label 1 likelier), predicted (1 from 0.5 on).
 
-    Null, empty and blank texts have no feature and get the score of the bias. Repeated rows get equal scores;
-    other columns are ignored.
+    Null, empty and blank texts have no feature and get the score of the bias. Texts of any length are scored
+    whole. Repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**BITS floats
 
@@ -150,7 +153,13 @@ def score(docs: DataFrame, model: LogisticModel, id_col: str = "doc_id", text_co
 
 
 def keep(docs: DataFrame, model: LogisticModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not call of low quality (label 0). One pass, no shuffle."""
+    """The rows of ``docs``, with all their columns, that the model does not call of low quality (label 0). One pass, no shuffle.
+
+    Null and empty texts get the score of the bias; repeated rows stay or go together; an empty table gives no
+    rows. A model that has not seen both classes drops nothing.
+    """
+    if not model.trained:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

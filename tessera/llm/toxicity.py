@@ -1,12 +1,13 @@
 """Toxicity: averaged subword-bag embeddings into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the whole word, so a
-misspelt word shares most of its vector with the words it resembles. A text is read in half-overlapping windows
-of WINDOW words; a window's vector is the mean of its words' vectors and goes through the softmax. A word that
-came up less than WINDOW words before is left out before windows are cut, so that repetition adds nothing and
-takes nothing away. The text's margin is the mean over its most toxic windows, a fifth of them but 3 to 32: how dense toxic words are counts,
-up to a passage of some hundred words in a text of any length. The first training epochs average over whole
-texts, the later ones follow each text's most toxic windows.
+misspelt word shares most of its vector with the words it resembles. A text's vector is the mean over all its
+words, however many, and goes through the softmax: how dense toxic words are counts, in a text of any length.
+Runs of more than 64 word characters are read as words of 64 characters and a rest.
+
+Embeddings and softmax are fitted together by accelerated proximal gradient steps over the whole sample. N-grams
+enter on the scale of their spread between texts; a group penalty on each embedding sets those to zero that teach
+nothing, since plain averages would let the words that a single text has learn that text by heart.
 """
 
 from __future__ import annotations
@@ -23,55 +24,19 @@ from pyspark.sql import functions as F
 from ._runtime import labelled_sample, text_chunks
 from ._words import WordCache, cache_for, char_ngrams
 
-BITS, LOW, HIGH, DIM, WINDOW = 17, 3, 5, 16, 16
-#: The most toxic windows that count: a share of a text's windows, at least and at most so many.
-SHARE, LEAST, MOST = 0.2, 3, 32
-#: How much of the embeddings that a batch touches decays, times its step.
-DECAY = 0.001
-#: The bias answers for all texts at once and moves by so many times the step.
-BIAS_SPEED = 8.0
-#: Bounds of the training sample: labelled texts per class and characters of a text that may be in it.
+BITS, LOW, HIGH, DIM = 18, 3, 5, 16
+#: An n-gram that fewer training texts have gets no embedding.
+LEAST_TEXTS = 5
+#: The group penalty on an embedding, the ridge penalty, and how many times the group penalty an n-gram's first gradient must reach.
+GROUP, RIDGE, SCREEN = 0.012, 0.01, 2.0
+#: The share of the loss that falls to label 1, however rare it is.
+TOXIC_SHARE = 0.75
+STEPS = 150
+#: Bounds of the training sample: labelled texts per class, and characters of a text that are read (a slice, chosen by a hash, of a longer one).
 TEXTS_PER_CLASS, MAX_TRAIN_CHARS = 2_000, 20_000
 _WORD = re.compile(r"\w{1,64}")
 
 
-def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, owning text) of the windows of texts that lie one after another; each text has at least one."""
-    half = WINDOW // 2
-    each = np.maximum(1, -(-(counts - half) // half))
-    owner = np.repeat(np.arange(len(counts)), each)
-    k = np.arange(len(owner)) - (np.cumsum(each) - each)[owner]
-    base = np.cumsum(counts) - counts
-    start = base[owner] + k * half
-    return start, np.minimum(start + WINDOW, base[owner] + counts[owner]), owner
-
-
-def _top_windows(mean: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's windows with the largest means: a SHARE of them, between LEAST and MOST; and how many of them its text has."""
-    order = np.lexsort((-mean, owner))
-    each = np.bincount(owner, minlength=texts)
-    wanted = np.clip(np.ceil(each * SHARE).astype(np.int64), LEAST, MOST)
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(each) - each, each)
-    top = order[rank < wanted[owner[order]]]
-    return top, np.minimum(each, wanted)[owner[top]]
-
-
-def _fresh(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """True where a word was not among the WINDOW - 1 words before it in its text."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((np.arange(len(words)), words, owner))
-    again = (words[order][1:] == words[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (np.diff(order) < WINDOW)
-    fresh = np.ones(len(words), bool)
-    fresh[order[1:][again]] = False
-    return fresh
-
-
-def _collapsed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that are fresh, and how many of them each text has."""
-    fresh = _fresh(words, counts)
-    return words[fresh], np.bincount(np.repeat(np.arange(len(counts)), counts)[fresh], minlength=len(counts))
-
-
 def _words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     words, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -83,95 +48,107 @@ def _words(texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 @dataclass
 class SubwordModel:
-    embeddings: np.ndarray  # (2**BITS, DIM)
+    buckets: np.ndarray  # sorted ids of the n-grams that have an embedding
+    embeddings: np.ndarray  # (buckets, DIM)
     softmax: np.ndarray  # (DIM, 2)
     bias: np.ndarray  # (2,)
     version: str = ""
+    #: Whether both classes were learnt from; if not, the score is a constant.
+    trained: bool = True
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         """How far each word's vector speaks for label 1 over label 0."""
         if not words:
             return np.zeros(0)
+        if not hasattr(self, "_margins"):
+            self._margins = np.zeros(1 << BITS)
+            self._margins[self.buckets] = np.einsum("bd,d->b", self.embeddings, self.softmax[:, 1] - self.softmax[:, 0])
         ids, counts = char_ngrams(words, LOW, HIGH, BITS)
-        buckets = np.einsum("bd,d->b", self.embeddings, self.softmax[:, 1] - self.softmax[:, 0]) if not hasattr(self, "_buckets") else self._buckets
-        self._buckets = buckets
-        return np.add.reduceat(buckets[ids], np.cumsum(counts) - counts) / counts
+        return np.add.reduceat(self._margins[ids], np.cumsum(counts) - counts) / counts
 
     def score(self, texts: list[str], cache: WordCache) -> np.ndarray:
         words, counts = _words(texts)
-        margins = np.zeros(0)
+        total = np.zeros(len(texts))
         if words:
             rows, table = cache.lookup(words)
-            rows, counts = _collapsed(rows, counts)
-            margins = table[rows]
-        start, end, owner = _windows(counts)
-        upto = np.concatenate(([0.0], np.cumsum(margins)))
-        mean = (upto[end] - upto[start]) / np.maximum(1, end - start)
-        top, share = _top_windows(mean, owner, len(texts))
-        top = np.bincount(owner[top], weights=mean[top] / share, minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(top + self.bias[1] - self.bias[0], -500, 500)))
-
-
-def train_subwords(rows: list[tuple[str, int]], epochs: int | None = None, batch: int = 32, rate: float = 1.0, seed: int = 5) -> SubwordModel:
-    """Fit on (text, label) rows; a small sample is gone through more often. With one class or none, the score is constant: that class, or 0.5."""
-    rng = np.random.default_rng(seed)
-    epochs = epochs or int(np.clip(30_000 // max(1, len(rows)), 8, 40))
-    model = SubwordModel(rng.uniform(-1, 1, (1 << BITS, DIM)) / DIM, np.zeros((DIM, 2)), np.zeros(2))
-    labels = {y for _, y in rows}
-    if len(labels) < 2:
-        model.bias = np.array([0.0, 0.0 if not labels else 4.0 if labels == {1} else -4.0])
-        model.version = f"constant-{model.bias[1]}"
-        return model
+            total = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=table[rows], minlength=len(texts))
+        margin = total / np.maximum(1, counts) + self.bias[1] - self.bias[0]
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+
+
+def _averages(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, weight): the share of each n-gram's embedding in each text's vector."""
     vocabulary: dict[str, int] = {}
-    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words([t])[0]], np.int64) for t, _ in rows]
-    texts = [_collapsed(x, np.array([len(x)]))[0] for x in texts]
-    truth = np.array([y for _, y in rows], float)
+    bags = []
+    for text in texts:
+        words, uses = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(text.lower())], return_counts=True)
+        bags.append((words.astype(np.int64), uses / max(1, uses.sum())))
     ids, sizes = char_ngrams(list(vocabulary), LOW, HIGH, BITS)
     ends = np.cumsum(sizes)
-    square = [np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)]
-    for epoch in range(epochs):
-        rounds = np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch))
-        for turn, chosen in enumerate(rounds):
-            step = rate * (1 - (epoch + turn / len(rounds)) / epochs)
-            own = [texts[i] for i in chosen]
-            counts = np.array([len(x) for x in own])
-            tokens = np.concatenate(own)
-            used, back = np.unique(tokens, return_inverse=True)
-            if not len(used):
-                continue
-            spans = np.repeat(ends[used] - np.cumsum(sizes[used]), sizes[used]) + np.arange(int(sizes[used].sum()))
-            buckets = ids[spans]
-            slope = model.softmax[:, 1] - model.softmax[:, 0]
-            live, where = np.unique(buckets, return_inverse=True)
-            vectors = model.embeddings[live]
-            margin = np.einsum("bd,d->b", vectors, slope)
-            margins = (np.add.reduceat(margin[where], np.cumsum(sizes[used]) - sizes[used]) / sizes[used])[back]
-            upto = np.concatenate(([0.0], np.cumsum(margins)))
-            base = np.cumsum(counts) - counts
-            if epoch < max(2, epochs // 4):
-                first, last, whose, share = base, base + counts, np.arange(len(own)), np.ones(len(own))
-            else:
-                start, end, owner = _windows(counts)
-                top, share = _top_windows((upto[end] - upto[start]) / np.maximum(1, end - start), owner, len(own))
-                first, last, whose = start[top], end[top], owner[top]
-            n = np.maximum(1, last - first) * share
-            logit = np.bincount(whose, weights=(upto[last] - upto[first]) / n, minlength=len(own)) + model.bias[1] - model.bias[0]
-            g = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - truth[chosen]) / len(own)
-            delta = np.zeros(len(tokens) + 1)
-            np.add.at(delta, first, g[whose] / n)
-            np.subtract.at(delta, last, g[whose] / n)
-            by_word = np.bincount(back, weights=np.cumsum(delta)[:-1], minlength=len(used)) / sizes[used]
-            pull = np.bincount(where, weights=np.repeat(by_word, sizes[used]), minlength=len(live))
-            g_slope = np.einsum("b,bd->d", pull, vectors)
-            g_softmax = np.stack([-g_slope, g_slope], axis=1)
-            g_bias = np.array([-g.sum(), g.sum()])
-            square[0][live] += pull**2 * (slope**2).sum()
-            model.embeddings[live] *= 1 - step * DECAY
-            model.embeddings[live] -= step * (pull / np.sqrt(square[0][live]))[:, None] * slope
-            for value, s, grad, speed in ((model.softmax, square[1], g_softmax, 1.0), (model.bias, square[2], g_bias, BIAS_SPEED)):
-                s += grad**2
-                value -= speed * step * grad / np.sqrt(s)
-    model.version = f"{hash(model.embeddings.tobytes())}"
+    owner, gram, weight = [], [], []
+    for i, (words, uses) in enumerate(bags):
+        n = sizes[words]
+        places = np.repeat(ends[words] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        own, back = np.unique(ids[places], return_inverse=True)
+        owner.append(np.full(len(own), i, np.int32)), gram.append(own.astype(np.int32))
+        weight.append(np.bincount(back, weights=np.repeat(uses / n, n), minlength=len(own)))
+    return np.concatenate(owner), np.concatenate(gram), np.concatenate(weight)
+
+
+def train_subwords(rows: list[tuple[str, int]], group: float = GROUP, ridge: float = RIDGE, steps: int = STEPS, toxic_share: float = TOXIC_SHARE, seed: int = 5) -> SubwordModel:
+    """Fit on (text, label) rows. With one class or none, the score is constant: that class, or 0.5."""
+    labels = {y for _, y in rows}
+    softmax = np.random.default_rng(seed).normal(size=(DIM, 2))
+    if len(labels) < 2:
+        bias = 0.0 if not labels else 4.0 if labels == {1} else -4.0
+        return SubwordModel(np.zeros(0, np.int64), np.zeros((0, DIM)), softmax, np.array([0.0, bias]), f"constant-{bias}", False)
+    n, truth = len(rows), np.array([y for _, y in rows], float)
+    owner, gram, weight = _averages([t for t, _ in rows])
+    share = np.where(truth == 1, toxic_share / truth.sum(), (1 - toxic_share) / (n - truth.sum()))
+    often = np.bincount(gram, minlength=1 << BITS) >= min(LEAST_TEXTS, (n + 9) // 10)
+    spread = np.sqrt(np.bincount(gram, weights=weight**2, minlength=1 << BITS) / n)
+    weight = weight / spread[gram]
+    first = np.abs(np.bincount(gram, weights=weight * ((toxic_share - truth) * share)[owner], minlength=1 << BITS))
+    kept = np.flatnonzero(often & (first > SCREEN * group))
+    number = np.full(1 << BITS, -1)
+    number[kept] = np.arange(len(kept))
+    live = number[gram] >= 0
+    owner, gram, weight = owner[live], number[gram[live]], weight[live]
+
+    def averaged(by_gram: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, weights=weight * by_gram[gram], minlength=n)
+
+    def gathered(by_text: np.ndarray) -> np.ndarray:
+        return np.bincount(gram, weights=weight * by_text[owner], minlength=len(kept))
+
+    probe, curve = np.ones(len(kept)), 1.0  # the loss's largest curvature, by power iteration
+    for _ in range(12):
+        probe = gathered(averaged(probe) * share)
+        curve = max(1e-12, float(np.sqrt((probe**2).sum())))
+        probe = probe / curve
+    curve = 0.3 * curve + ridge
+    slope = softmax[:, 1] - softmax[:, 0]
+    slope = slope / np.sqrt((slope**2).sum())
+    here, bias, pace = np.zeros((len(kept), DIM)), 0.0, 1.0
+    ahead, ahead_bias = here, bias
+    for _ in range(steps):
+        margin = averaged(np.einsum("bd,d->b", ahead, slope)) + ahead_bias
+        error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - truth) * share
+        pull = gathered(error)
+        new = ahead - (pull[:, None] * slope + ridge * ahead) / curve
+        size = np.sqrt((new**2).sum(axis=1, keepdims=True))
+        new = new * np.maximum(0, 1 - group / curve / np.maximum(size, 1e-300))
+        turn = np.einsum("b,bd->d", pull, ahead)
+        slope = slope - turn / curve / max(1.0, float((ahead**2).sum()))
+        slope = slope / np.sqrt((slope**2).sum())
+        new_bias = ahead_bias - 2 * error.sum()
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, ahead_bias = new + (pace - 1) / faster * (new - here), new_bias + (pace - 1) / faster * (new_bias - bias)
+        here, bias, pace = new, new_bias, faster
+    has = np.flatnonzero((here**2).sum(axis=1) > 0)
+    embeddings = here[has] / spread[kept[has]][:, None]
+    model = SubwordModel(kept[has], embeddings, np.stack([-slope / 2, slope / 2], axis=1), np.array([-bias / 2, bias / 2]))
+    model.version = f"{hash(embeddings.tobytes())}-{bias}"
     return model
 
 
@@ -183,10 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, label: str = "toxi
 def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` rows as id, score (0 to 1; higher: label 1 likelier), predicted (1 from 0.5 on).
 
-    Null, empty and wordless texts have the zero vector and get the score of the bias. Repeated rows get equal
-    scores; other columns are ignored.
+    Null, empty and wordless texts have the zero vector and get the score of the bias. Texts of any length are
+    scored whole. Repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**BITS x DIM doubles
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: at most 2**BITS x DIM doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -200,7 +177,13 @@ def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col
 
 
 def keep(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not call toxic (label 1). One pass, no shuffle."""
+    """The rows of ``docs``, with all their columns, that the model does not call toxic (label 1). One pass, no shuffle.
+
+    Null and empty texts get the score of the bias; repeated rows stay or go together; an empty table gives no
+    rows. A model that has not seen both classes drops nothing.
+    """
+    if not model.trained:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
