@@ -69,7 +69,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay in their group of equal texts. Rows without an id stay."""
-    dropped = exact_groups(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_dropped_sha")).distinct()
-    same = (docs[id_col] == dropped["_dropped"]) & (F.sha2(normalised(docs[text_col]), 256) == dropped["_dropped_sha"])
-    return docs.join(dropped, same, "left_anti")
+    """One row of ``docs`` of each group of equal texts, with all its columns: the one with the smallest id.
+
+    A null id loses to any other. Of rows that repeat that id and text, as of equal texts without any id, the
+    smallest by all columns stays (which must then be sortable). An empty table stays empty.
+    """
+    found = exact_groups(docs, id_col, text_col, salts).withColumnRenamed(id_col, "_found").withColumnRenamed("text_sha256", "_found_sha")
+    once = found.groupBy("_found", "_found_sha").agg(F.count(F.lit(1)).alias("_rows"), F.max(~F.col("kept")).alias("_copy"))
+    out = checkpoint(once.where(F.col("_copy") | (F.col("_rows") > 1)))
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    kept = docs.join(out, docs[id_col].eqNullSafe(out["_found"]) & (sha == out["_found_sha"]), "left_anti")
+    again = out.where(~F.col("_copy")).select("_found", "_found_sha")
+    if again.isEmpty():
+        return kept
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), sha.alias("_sha"))
+    chosen = rows.join(again, F.col("_id").eqNullSafe(F.col("_found")) & (F.col("_sha") == F.col("_found_sha")), "left_semi").groupBy("_id", "_sha").agg(F.min("_row").alias("_row"))
+    return kept.unionByName(chosen.select("_row.*"))

@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in at most ``d`` bits agree in
 at least ``8 - d`` positions, the guaranteed minimum. Single-byte lists hold a 256th of all fingerprints
-each, so the index lists are keyed by all subsets of ``8 - d`` positions with their bytes: a pair that
-reaches the minimum shares at least one such list, and for ``d = 3`` a list holds at most 2**24 different
-fingerprints (128 MB), however the data are. In a list the shared positional bytes of each pair are tallied,
-pairs under the minimum go, the others are verified bit by bit.
+each, so the index lists are keyed by all subsets of ``7 - d`` positions with their bytes (four of eight for
+``d = 3``): a pair that reaches the minimum shares several such lists, but a pair of a list need not reach it.
+In a list the shared positional bytes of each pair are tallied, pairs under the minimum go, and only the pairs
+that are left are verified bit by bit. A long list is dealt once more by each further position: its pairs that
+reach the minimum agree there in at least one. Such a part holds at most 2**24 different fingerprints for
+``d = 3``, and if it is still long, it is probed for all fingerprints within ``d`` bits, with the same links.
 
 Equal fingerprints are one node. A list yields no more links than it has fingerprints: its verified pairs
 are reduced to a spanning forest at once, which keeps every connection.
@@ -21,13 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._runtime import checkpoint, text_chunks
 from .components import components
 
 WORDS, SEED, MAX_BITS = 3, 42, 3
-#: Lists up to this size are compared pair by pair in numpy; longer ones by probing, which costs a fixed number of steps a fingerprint.
-PAIRWISE = 2_048
+#: Lists up to SHORT are compared together, up to PAIRWISE pair by pair; longer ones are dealt by a further position, then probed (a fixed number of steps a fingerprint).
+SHORT, PAIRWISE = 8, 2_048
 _HASHES = 1 << 16
 
 
@@ -85,22 +88,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
+def _with_prints(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` with a column ``_print``, the fingerprint of ``_text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprint_texts(texts, words).view(np.int64))], names=[*part.schema.names, "_print"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_print", LongType())]))
+
+
 def _masks(max_bits: int) -> list[int]:
-    """One mask for every choice of ``8 - max_bits`` byte positions."""
-    return [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), 8 - max_bits)]
+    """One mask for every choice of ``7 - max_bits`` byte positions (at least one)."""
+    return [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), max(1, 7 - max_bits))]
+
+
+def _tally(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many positional bytes each pair shares."""
+    return 8 - np.count_nonzero(np.ascontiguousarray(x ^ y)[..., None].view(np.uint8), axis=-1)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
-    """Count filter, then verification: whether pairs share at least ``8 - max_bits`` positional bytes and differ in at most ``max_bits`` bits."""
-    differ = x ^ y
-    shared = np.zeros(differ.shape, np.uint8)
-    for p in range(8):
-        shared += (differ & np.uint64(0xFF << (8 * p))) == 0
-    return (shared >= 8 - max_bits) & (np.bitwise_count(differ) <= max_bits)
+    """Count filter, then verification: pairs that share at least ``8 - max_bits`` positional bytes are retained, and of those the ones that differ in at most ``max_bits`` bits are linked."""
+    linked = _tally(x, y) >= 8 - max_bits
+    retained = np.nonzero(linked)
+    linked[retained] = np.bitwise_count((x ^ y)[retained]) <= max_bits
+    return linked
 
 
 def _list_links(fps: np.ndarray, mask: int, max_bits: int) -> tuple[list, list]:
-    """A spanning forest of the links within one list of different fingerprints."""
+    """Links that connect one list of different fingerprints as all its links do; at most one a fingerprint, or one for each position that the list is dealt by."""
+    if len(fps) > PAIRWISE and mask.bit_count() < 8 * (8 - max_bits):
+        left, right = [], []
+        for p in range(8):
+            if not mask >> (8 * p) & 1:
+                byte = (fps >> np.uint64(8 * p)).astype(np.uint8)
+                order = np.argsort(byte, kind="stable")
+                ends = np.cumsum(np.bincount(byte, minlength=256)).tolist()
+                for a, b in zip([0, *ends], ends, strict=False):
+                    if b - a > 1:
+                        x, y = _list_links(fps[order[a:b]], mask | 0xFF << (8 * p), max_bits)
+                        left += x
+                        right += y
+        return left, right
     left, right, rest = [], [], np.sort(fps)
     probes = None
     if len(rest) > PAIRWISE:
@@ -135,11 +165,14 @@ def _find_links(max_bits: int):
         first = np.flatnonzero(np.concatenate(([True], (combo[1:] != combo[:-1]) | (key[1:] != key[:-1]))))
         sizes = np.diff(np.append(first, len(fps)))
         a, b = [], []
-        two = first[sizes == 2]
-        ok = _linked(fps[two], fps[two + 1], max_bits)
-        a.append(fps[two][ok])
-        b.append(fps[two + 1][ok])
-        for start, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        short = np.where(sizes <= SHORT, sizes, 1)
+        left_in_list = np.repeat(first + short, sizes) - np.arange(len(fps))  # members of a short list from here on, this one included
+        for apart in range(1, SHORT):
+            x = np.flatnonzero(left_in_list > apart)
+            x = x[_linked(fps[x], fps[x + apart], max_bits)]
+            a.append(fps[x])
+            b.append(fps[x + apart])
+        for start, size in zip(first[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
             x, y = _list_links(fps[start : start + size], int(masks[combo[start]]), max_bits)
             a.append(np.array(x, np.uint64))
             b.append(np.array(y, np.uint64))
@@ -172,35 +205,55 @@ def _find_links(max_bits: int):
 def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) that connect the different fingerprints ``distinct(fp)`` exactly as all pairs within ``max_bits`` bits do."""
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in _masks(max_bits)])
-    postings = distinct.select(F.posexplode(masks).alias("combo", "mask"), "fp")
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.rdd.getNumPartitions())
+    postings = distinct.repartition(tasks, "fp").select(F.posexplode(masks).alias("combo", "mask"), "fp")
     postings = postings.select(F.col("combo").cast("short").alias("combo"), "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     dealt = postings.repartition("combo", "key").sortWithinPartitions("combo", "key").select("combo", "fp")
     return dealt.mapInArrow(_find_links(max_bits), "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links).
-
-    Texts shorter than ``words`` words have one shingle, their whole word sequence; null, empty and blank texts
-    have fingerprint zero and are linked like any other. Repeated rows and ties share one fingerprint. Null
-    ids never become a component_id unless a component has no other. Other columns are ignored.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int) -> DataFrame:
+    """(id, fp, root, component_id) of every row; root is the component's smallest fingerprint."""
     prints = checkpoint(fingerprints(docs, id_col, text_col, words))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(fingerprint_links(nodes.select("fp"), max_bits))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # its own checkpoint lets the join deal both sides itself: AQE then splits the rows of a large component
     least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpoint(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    out = prints.join(named, "fp")
+    named = checkpoint(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select(id_col, "fp", "root", "component_id")
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links).
+
+    Texts shorter than ``words`` words have one shingle, their whole word sequence; null, empty and blank texts
+    have fingerprint zero and are linked like any other. Repeated rows and ties share one fingerprint. Null
+    ids never become a component_id unless a component has no other. An empty table gives no rows; other columns
+    are ignored.
+    """
+    out = _rooted(docs, id_col, text_col, words, max_bits)
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of its component.
+    """One row of ``docs`` of each component, with all its columns: the one with the smallest id.
 
-    Rows without an id stay. Should an id stand for several texts, all its rows stay if one of them does.
+    A null id loses to any other. Of several rows with that id, as of rows without any id, the smallest by all
+    columns stays (which must then be sortable); an id that stands for several texts is judged for each of them.
+    Null, empty and blank texts are one component; an empty table stays empty.
     """
-    found = near_duplicate_components(docs, id_col, text_col, words, max_bits)
-    dropped = found.groupBy(F.col(id_col).alias("_dropped")).agg(F.every(F.col(id_col) != F.col("component_id")).alias("_all")).where("_all").select("_dropped")
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    found = checkpoint(_rooted(docs, id_col, text_col, words, max_bits).withColumnRenamed(id_col, "_found"))
+    once = found.groupBy("_found").agg(F.count(F.lit(1)).alias("_rows"), F.max(~F.col("_found").eqNullSafe(F.col("component_id"))).alias("_copy"))
+    out = checkpoint(once.where(F.col("_copy") | (F.col("_rows") > 1)))
+    kept = docs.join(out.select("_found"), docs[id_col].eqNullSafe(out["_found"]), "left_anti")
+    again = out.where(F.col("_rows") > 1).select("_found")
+    if again.isEmpty():
+        return kept
+    # ids of several rows, as a rule few: their fingerprints are worked out anew to tell their rows apart
+    rows = docs.join(again, docs[id_col].eqNullSafe(again["_found"]), "left_semi")
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    printed = checkpoint(_with_prints(whole, words))
+    places = found.where(F.col("_found").eqNullSafe(F.col("component_id"))).select("_found", F.col("fp").alias("_fp"), "root").distinct()
+    chosen = printed.join(places, F.col("_id").eqNullSafe(F.col("_found")) & (F.col("_print") == F.col("_fp"))).groupBy("root", "_id").agg(F.min("_row").alias("_row"))
+    return kept.unionByName(chosen.select("_row.*"))

@@ -48,6 +48,16 @@ def test_drop_exact_copies_keeps_columns(spark):
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 4, 5, 7, 8, 9, 11, 12, 13, 14]
 
 
+def test_repeated_rows_leave_one(spark):
+    one, two = prose(1, 300), prose(2, 300)
+    rows = [(10, one), (10, one), (10, two), (11, one), (None, one), (None, "alone here"), (None, "alone here"), (12, None), (12, "")]
+    want = [("None", "alone here"), ("10", one), ("10", two), ("12", "")]
+    for drop in (exact_dedup.drop_exact_copies, simhash.drop_near_copies):
+        got = drop(docs(spark, rows).repartition(3))
+        assert got.columns == docs(spark).columns
+        assert sorted((str(r[0]), r[1] or "") for r in got.collect()) == sorted(want)
+
+
 def test_exact_dedup_runs_no_python(spark):
     plan = exact_dedup.exact_groups(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -157,4 +167,20 @@ def test_components_of_chains_and_stars(spark):
 
 def test_drop_near_copies(spark):
     got = simhash.drop_near_copies(docs(spark, [(1, prose(1, 300)), (2, prose(1, 300)), (3, prose(2, 300)), (3, prose(1, 300))]))
-    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 3]
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
+def test_tally_rejects_pairs_of_a_list(spark):
+    """Pairs that share four positional bytes meet in a list; the count filter lets go of them before any bit is compared."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(1 << 62, size=400).astype(np.uint64)
+    other = base ^ np.uint64(0x0101010100000000)  # four bits, one in each of four bytes
+    near = base ^ np.uint64(0x0000000700000000)
+    assert (simhash._tally(base, other) == 4).all() and (simhash._tally(base, near) == 7).all()
+    assert not simhash._linked(base, other, 3).any() and simhash._linked(base, near, 3).all()
+    for x in rng.integers(0, 400, 20):
+        assert simhash._tally(base[x], base[7]) == sum((int(base[x]) >> 8 * p & 255) == (int(base[7]) >> 8 * p & 255) for p in range(8))
+    shared_lists = sum(int(base[0]) & m == int(other[0]) & m for m in simhash._masks(3))
+    assert shared_lists == 1
+    both = np.concatenate([base, other]).view(np.int64).tolist()
+    assert simhash.fingerprint_links(spark.createDataFrame([(p,) for p in both], "fp long")).count() == 0
