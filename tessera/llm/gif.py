@@ -25,6 +25,8 @@ ROW = 192
 FRAME_ROWS, DELAY = 240, 10
 #: Steps of each colour channel in a histogram.
 LEVELS = 4
+#: Largest screen and frame that is decoded, in pixels: four bytes each are held for the canvas, and as much again for a copy.
+MAX_PIXELS = 1 << 24
 KEEP, TO_BACKGROUND, TO_PREVIOUS = 1, 2, 3
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 _TABLE = 4096
@@ -190,16 +192,20 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def _read(data: bytes) -> tuple[int, int, list[Frame]]:
+def _read(data: bytes, max_pixels: int) -> Iterator[tuple[int, int] | Frame]:
+    """The screen's width and height, then frame by frame."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > max_pixels:
+        raise ValueError(f"a screen of {width} x {height} is over {max_pixels} pixels")
+    yield width, height
     at, colours = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
         colours = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
-    frames, control = [], (0, 0, None)
+    control = (0, 0, None)
     while data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
@@ -210,6 +216,8 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
             at = after
         elif kind == 0x2C:
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            if w * h > max_pixels:
+                raise ValueError(f"a frame of {w} x {h} is over {max_pixels} pixels")
             at, own = at + 10, colours
             if flags & 0x80:
                 n = 2 << (flags & 7)
@@ -228,23 +236,28 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
                 pixels = rows
             if pixels.size and pixels.max() >= len(own):
                 raise ValueError("a pixel is outside its palette")
-            frames.append(Frame(pixels, left, top, control[1], control[0], control[2], own, bool(flags & 0x40)))
+            yield Frame(pixels, left, top, control[1], control[0], control[2], own, bool(flags & 0x40))
             control = (0, 0, None)
         else:
             raise ValueError("unknown block")
-    return width, height, frames
 
 
-def decode_gif(data: bytes) -> Iterator[tuple[Frame, np.ndarray]]:
+def _whole(parts: Iterator) -> Iterator:
+    try:
+        yield from parts
+    except (IndexError, struct.error) as e:
+        raise ValueError("the GIF ends early") from e
+
+
+def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[tuple[Frame, np.ndarray]]:
     """Each frame with the canvas that it leaves on screen: height x width x RGBA.
 
     The canvas starts transparent. Transparent pixels leave what is there; disposal 2 clears the frame's
-    rectangle afterwards, disposal 3 puts back what was there before. Broken files raise ValueError.
+    rectangle afterwards, disposal 3 puts back what was there before. Broken files raise ValueError, and so do
+    screens and frames of more than ``max_pixels``; one frame at a time is held.
     """
-    try:
-        width, height, frames = _read(data)
-    except (IndexError, struct.error) as e:
-        raise ValueError("the GIF ends early") from e
+    frames = _whole(_read(data, max_pixels))
+    width, height = next(frames)
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == TO_PREVIOUS else None
@@ -288,7 +301,11 @@ def gif_to_payload(data: bytes) -> tuple[bytes, np.ndarray]:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every whole text as a GIF. Null texts count as empty; equal texts give equal media."""
+    """(id, n_bytes, media): every whole text as a GIF.
+
+    Null texts count as empty; equal texts and repeated rows give equal media; texts of any length become more
+    frames. An empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "_text"):
@@ -300,7 +317,11 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_payloads(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and a feature string of what GIFs of ``store_texts`` hold, from the decoded and composited frames."""
+    """Digests and a feature string of what GIFs of ``store_texts`` hold, from the decoded and composited frames.
+
+    One row a row, repeated ones too; an empty table gives no rows; other columns are ignored. Media that
+    ``store_texts`` did not write, and nulls, are for ``read_frames``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,8 +343,9 @@ def read_payloads(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def read_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per frame: id, frame, shown_at_ms, delay_ms, left, top, width, height, disposal, histogram, error.
 
-    A null or broken file gives one row with its error and nulls; a file without frames gives none. Repeated
-    rows are read each on their own; other columns are ignored.
+    A null or broken file, and one of more than MAX_PIXELS pixels a frame, gives one row with its error and nulls;
+    a file without frames gives none. Repeated rows are read each on their own; an empty table gives no rows;
+    other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,10 @@ template is over half of its class size, a window 1.5 class sizes and one shingl
 at the least accepted share of 0.8 the chance to meet in some band is at least 1 - (1 - 0.25)**64, over
 0.99999998. Retrieved pairs are then verified on the words themselves.
 
-A window can only share a band's value with a template if it holds the shingle that gives the template this
-value; signatures are therefore worked out for windows around such shingles alone, which loses nothing.
+The bands of all templates are one index, value to templates, and every window looks its values up there. A
+window can only share a band's value with a template if it holds the shingle that gives the template this value;
+signatures are therefore worked out for windows around such shingles alone, which loses nothing. The work on a
+text follows its windows and the templates that they retrieve, not the number of templates.
 """
 
 from __future__ import annotations
@@ -50,7 +52,9 @@ TEMPLATES: dict[str, str] = {
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-cased words, as many as the text has (lower-casing first could split one)."""
+    found = _WORD.findall(text)
+    return "\n".join(found).lower().split("\n") if found else []
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -78,55 +82,69 @@ class _Template:
     shingles: set[tuple[str, ...]]
     size: int  # words of a shingle: SHINGLE, or all words of a shorter template
     span: int  # size class in shingles
-    signature: np.ndarray
-    triggers: np.ndarray  # the shingle behind each band's value
 
 
 class Scanner:
     def __init__(self, templates: Mapping[str, str]):
-        self.templates = []
+        self.templates: list[_Template] = []
+        #: (words of a shingle, size class) -> band and value -> templates: the band index
+        self.index: dict[tuple[int, int], dict[tuple[int, int], list[_Template]]] = {}
+        triggers: dict[tuple[int, int], list[np.ndarray]] = {}  # the shingles behind the bands' values
         for name, text in sorted(templates.items()):
             words = words_of(text)
             if not words:
                 raise ValueError(f"template {name} has no word")
             size = min(SHINGLE, len(words))
             hashes = _shingle_hashes(_word_hashes(words), size)
-            signature = _signature(hashes)
-            triggers = np.unique(hashes[mix(hashes[:, None] ^ _BAND_KEYS).argmin(axis=0)])
             span = 1 << (len(hashes) - 1).bit_length()
-            self.templates.append(_Template(name, {tuple(words[i : i + size]) for i in range(len(hashes))}, size, span, signature, triggers))
-        self.by_size = {s: np.unique(np.concatenate([t.triggers for t in self.templates if t.size == s])) for s in {t.size for t in self.templates}}
+            template = _Template(name, {tuple(words[i : i + size]) for i in range(len(hashes))}, size, span)
+            self.templates.append(template)
+            bands = self.index.setdefault((size, span), {})
+            for band, value in enumerate(_signature(hashes).tolist()):
+                bands.setdefault((band, value), []).append(template)
+            triggers.setdefault((size, span), []).append(hashes[mix(hashes[:, None] ^ _BAND_KEYS).argmin(axis=0)])
+        self.triggers = {kind: np.unique(np.concatenate(found)) for kind, found in triggers.items()}
+        self.by_size = {s: np.unique(np.concatenate([t for (size, _), t in self.triggers.items() if size == s])) for s in {size for size, _ in self.triggers}}
 
     def _scan_text(self, text: str, hashes: np.ndarray) -> list[tuple[str, float, int, int]]:
-        words, out = None, []
+        words = words_of(text)
         shingles = {s: _shingle_hashes(hashes, s) for s in self.by_size}
-        for t in self.templates:
-            own = shingles[t.size]
-            hits = np.flatnonzero(np.isin(own, t.triggers))
+        found: dict[str, set[tuple[float, int, int]]] = {}
+        for (size, span), bands in self.index.items():
+            own = shingles[size]
+            hits = np.flatnonzero(np.isin(own, self.triggers[size, span]))
             if not len(hits):
                 continue
-            step, width = max(1, t.span // 2), t.span + max(1, t.span // 2)
+            step, width = max(1, span // 2), span + max(1, span // 2)
             first, last = np.maximum(0, (hits - width) // step + 1), hits // step
             starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])) * step
-            best = (0.0, 0, 0)
             for start in starts.tolist():
-                if not (_signature(own[start : start + width]) == t.signature).any():
+                values = enumerate(_signature(own[start : start + width]).tolist())
+                retrieved = {t.name: t for value in values if value in bands for t in bands[value]}
+                if not retrieved:
                     continue
-                words = words or words_of(text)
-                here = {}
+                here: dict[tuple[str, ...], list[int]] = {}
                 for i in range(start, min(start + width, len(own))):
-                    here.setdefault(tuple(words[i : i + t.size]), i)
-                shared = [here[s] for s in t.shingles if s in here]
-                share = len(shared) / len(t.shingles)
-                if share >= CONTAINMENT and share > best[0]:
-                    best = (share, min(shared), max(shared) + t.size)
-            if best[0]:
-                spans = [m.span() for m in _WORD.finditer(text.lower())]
-                out.append((t.name, best[0], spans[best[1]][0], spans[best[2] - 1][1]))
-        return out
+                    here.setdefault(tuple(words[i : i + size]), []).append(i)
+                for t in retrieved.values():
+                    shared = [here[s] for s in t.shingles if s in here]
+                    if (share := len(shared) / len(t.shingles)) >= CONTAINMENT:
+                        found.setdefault(t.name, set()).add((share, min(p[0] for p in shared), max(p[0] for p in shared) + size))
+                        if any(len(p) > 1 for p in shared):  # more than one occurrence: the last one of each shingle too
+                            found[t.name].add((share, min(p[-1] for p in shared), max(p[-1] for p in shared) + size))
+        if not found:
+            return []
+        spans, out = [m.span() for m in _WORD.finditer(text)], []
+        for name in sorted(found):
+            told: list[tuple[int, int]] = []
+            for share, a, b in sorted(found[name], key=lambda f: (-f[0], f[2] - f[1], f[1])):
+                if all(b <= c or a >= d for c, d in told):
+                    told.append((a, b))
+                    out.append((name, share, spans[a][0], spans[b - 1][1]))
+        return sorted(out, key=lambda f: (f[0], f[2]))
 
     def scan(self, texts: list[str], cache: WordCache) -> list[list[tuple[str, float, int, int]]]:
-        """For each whole text (template, containment, first and after-last character of the best window's match)."""
+        """For each whole text (template, containment, first and after-last character) of its stretches."""
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             own = words_of(text)
@@ -148,11 +166,12 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` and template found: id, license, containment, start, end.
+    """One row per row of ``docs`` and stretch that matches a template: id, license, containment, start, end.
 
-    start and end are character positions in the lower-cased text. Of several stretches that match a template,
-    the one with the largest containment is told, the first of equals. Null, empty and wordless texts match
-    nothing; repeated rows are reported each; other columns are ignored.
+    start and end are character positions in the text. Stretches of one template do not overlap: of those that do,
+    the one with the largest containment is told, then the shorter, then the first. Texts of any length are read
+    whole; null, empty and wordless texts match nothing; repeated rows are reported each; an empty table gives no
+    rows; other columns are ignored.
     """
     known = dict(TEMPLATES if templates is None else templates)
 

@@ -5,7 +5,8 @@ counted by length class (``grain`` ids wide, rounded up), a histogram whose size
 alone. On the driver a linear program over packing patterns is solved by column generation: a revised simplex
 method whose entering patterns an unbounded knapsack dynamic program prices. Patterns are used the rounded-down
 number of times, the few pieces left over are packed best-fit by class. The workers then rank the pieces of
-each class (salted, with offsets from a small count table) and find sequence and slot from the rank.
+each class (salted, with offsets from a small count table) and find sequence and slot from the rank. Pieces of
+the longest class fill a sequence each and need no rank.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from ._runtime import checkpoint, text_chunks
 from ._words import IdStore, cache_for, joined
 
 CAPACITY, END_ID, GRAIN = 2048, 1, 8
-#: Groups into which each length class is dealt for ranking.
-RANK_SALTS = 64
+#: Groups into which each length class is dealt for ranking: at least so many, and so many that one has about RANKED rows.
+RANK_SALTS, RANKED = 64, 250_000
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 800_000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,64}[.,]?")
@@ -105,7 +106,11 @@ class TokenIds:
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens): each document's ids, an end id after them, cut every ``capacity`` ids."""
+    """(id, start, length, ids_crc32, doc_tokens): each document's ids, an end id after them, cut every ``capacity`` ids.
+
+    Null and empty texts have the end id alone. Repeated rows are cut each; an empty table gives no rows; other
+    columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = cache_for(("token_ids", path), lambda: TokenIds(path))
@@ -245,28 +250,35 @@ def _assign(plan: tuple[np.ndarray, np.ndarray]):
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, grain: int = GRAIN) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have the end id alone. Repeated rows are packed once for each row. Pieces of a
-    sequence lie gaplessly from offset 0. Which of several equally long pieces goes where follows a hash of
-    the id and the start, so a rerun gives the same sequences. Other columns are ignored; an empty table
-    gives no rows.
+    Null and empty texts have the end id alone; texts of any length are cut whole. Repeated rows are packed once
+    for each row. Pieces of a sequence lie gaplessly from offset 0. Which of several equally long pieces goes
+    where follows a hash of the id and the start; pieces that fill a sequence are numbered after the others,
+    by where they were written, with gaps. Other columns are ignored; an empty table gives no rows.
     """
     cut = checkpoint(pieces(docs, path, id_col, text_col, capacity, end_id))
-    salted = cut.select("*", F.floor((F.col("length") + grain - 1) / grain).cast("int").alias("_class"), F.pmod(F.xxhash64(id_col, "start"), F.lit(RANK_SALTS)).cast("int").alias("_salt"))
-    counts = salted.groupBy("_class", "_salt").count().collect()  # at most capacity / grain x RANK_SALTS rows
     units = -(-capacity // grain)
-    tally = np.zeros((units + 1, RANK_SALTS), np.int64)
-    for r in counts:
-        tally[r["_class"], r["_salt"]] = r["count"]
-    base = np.cumsum(tally, axis=1) - tally
-    demand = tally.sum(axis=1)[1:]
-    table = _assign(plan_sequences(demand))
+    classed = cut.select("*", F.floor((F.col("length") + grain - 1) / grain).cast("int").alias("_class"))
+    shared = classed.where(F.col("_class") < units)
+    demand = np.zeros(units, np.int64)
+    for r in shared.groupBy("_class").count().collect():  # at most capacity / grain rows
+        demand[r["_class"] - 1] = r["count"]
+    salts = np.concatenate(([1], np.maximum(RANK_SALTS, -(-demand // RANKED))))
+    salted = shared.withColumn("_salt", F.pmod(F.xxhash64(id_col, "start"), F.element_at(F.array(*[F.lit(int(n)) for n in salts]), F.col("_class") + 1)).cast("int"))
+    starts = np.cumsum(salts) - salts
+    tally = np.zeros(int(salts.sum()), np.int64)
+    for r in salted.groupBy("_class", "_salt").count().collect():  # a row for RANKED pieces, and capacity / grain x RANK_SALTS
+        tally[starts[r["_class"]] + r["_salt"]] = r["count"]
+    base = np.cumsum(tally) - tally
+    base -= np.repeat(base[starts], salts)
+    plan = plan_sequences(demand)
+    table, sequences = _assign(plan), int(plan[1].sum())
     w = "row_number() over (partition by _class, _salt order by length, {0}, start, ids_crc32) - 1".format(f"`{id_col}`")
     ranked = salted.withColumn("_rank", F.expr(w).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_class", "_salt", "_rank"))
-            rank = rank + base[kind, salt]
+            rank = rank + base[starts[kind] + salt]
             sequence, slot = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for k in np.unique(kind):
                 at = np.flatnonzero(kind == k)
@@ -279,4 +291,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     schema = f"{id_col} {cut.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, _slot long"
     placed = ranked.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "_class", "_salt", "_rank").mapInArrow(run, schema)
     before = "coalesce(sum(length) over (partition by sequence_id order by _slot rows between unbounded preceding and 1 preceding), 0)"
-    return placed.withColumn("offset", F.expr(before).cast("long")).drop("_slot")
+    packed = placed.withColumn("offset", F.expr(before).cast("long")).drop("_slot")
+    alone = classed.where(F.col("_class") == units).drop("_class")
+    return packed.unionByName(alone.select("*", (F.monotonically_increasing_id() + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

@@ -13,6 +13,7 @@ space that follows a non-space, and its units can be encoded one by one and kept
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,11 +36,21 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _check_normaliser(given: Callable[[str], str]) -> None:
+    """Refuse a model whose normaliser does anything but mark spaces and put one before the text, by any character of the basic plane and by white space in all places."""
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    odd = ["", " ", "  a  b ", "a  ", "\ta\n b", "e\u0301", "\ufb01n", "\u1100\u1161", "\U0001f642 x"]
+    for text in [*("".join(chars[i : i + 64]) for i in range(0, len(chars), 64)), *odd]:
+        if given(text) != normalise(text):
+            raise ValueError("the model has a normaliser of its own, which is not compiled here")
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    _check_normaliser(model.normalize)
     scores, names, byte_ids = {}, [], [-1] * 256
     for i in range(model.vocab_size()):
         piece = model.id_to_piece(i)

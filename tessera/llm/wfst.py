@@ -177,7 +177,11 @@ def decode_ids(ids: list[int], path: str) -> str:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe") -> DataFrame:
-    """(id, ids) by a model of ``kind`` bpe or unigram: piece ids of every row's whole text. Null and empty texts have no ids; repeated rows and ties get equal ids; other columns are ignored."""
+    """(id, ids) by a model of ``kind`` bpe or unigram: piece ids of every row's whole text, of any length.
+
+    Null and empty texts have no ids; repeated rows and ties get equal ids; an empty table gives no rows; other
+    columns are ignored. A model with a normaliser of its own raises ValueError.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = cache_for(("wfst", path, kind), lambda: Encoder(path, kind))
@@ -191,7 +195,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text): the text of every row's ids; null ids give a null text."""
+    """(id, text): the text of every row's ids; null ids give a null text, no ids the empty one. One row a row, repeated ones too; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +207,10 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
 
 
 def digest(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, n_pieces, ids_crc32, text_sha256): digests of every row's ids (little-endian, 32 bits) and of the text that they decode to."""
+    """(id, n_pieces, ids_crc32, text_sha256): digests of every row's ids (little-endian, 32 bits) and of the text that they decode to.
+
+    Null ids count as none. One row a row, repeated ones too; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -232,7 +232,45 @@ def test_licenses(spark):
     rows = list(enumerate(texts)) + [(100, None)]
     got = {}
     for r in licenses.scan_licenses(docs(spark, rows)).collect():
-        got.setdefault(r["doc_id"], []).append(r["license"])
+        got.setdefault(r["doc_id"], set()).add(r["license"])
         assert 0.8 <= r["containment"] <= 1 and r["start"] < r["end"]
     assert {i: sorted(v) for i, v in got.items()} == {i: b for i, t in enumerate(texts) if (b := _brute_licenses(t))}
     assert licenses.scan_licenses(docs(spark, [])).collect() == []
+
+
+def test_every_stretch_of_a_license_is_told(spark):
+    notice, other = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["ISC"]
+    text = f"\u0130stanbul {notice}. " + prose(1, 400) + f" {notice.upper()} {notice}\n" + prose(2, 90) + " " + other
+    got = [(r["license"], text[r["start"] : r["end"]].lower()) for r in licenses.scan_licenses(docs(spark, [(1, text)])).collect()]
+    words = lambda t: " ".join(licenses.words_of(t))
+    assert sorted((n, words(t)) for n, t in got) == [("ISC", words(other))] + [("MIT", words(notice))] * 3
+
+
+def test_license_templates_are_looked_up():
+    """A thousand templates, of which each text holds one."""
+    scanner = licenses.Scanner({f"t{i}": prose(i, 12 + i % 70) for i in range(1000)})
+    cache = WordCache(licenses._word_hashes)
+    texts = [prose(5000 + i, 60) + " " + prose(i, 12 + i % 70) + " " + prose(7000 + i, 60) for i in range(0, 1000, 50)]
+    assert [{h[0] for h in hits} for hits in scanner.scan(texts, cache)] == [{f"t{i}"} for i in range(0, 1000, 50)]
+
+
+def test_huge_gif_screens_are_errors(spark):
+    small = gif.encode_gif([gif.Frame(np.zeros((2, 2), np.uint8))])
+    bomb = small[:6] + b"\xff\xff\xff\xff" + small[10:]
+    media = spark.createDataFrame([(1, bytearray(bomb)), (2, bytearray(small)), (3, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in gif.read_frames(media).collect()}
+    assert "65535 x 65535" in got[1]["error"] and got[2]["error"] is None and got[2]["width"] == 2 and got[3]["error"] == "no file"
+
+
+def test_other_normalisers_are_refused():
+    pieces._check_normaliser(pieces.normalise)
+    with pytest.raises(ValueError, match="normaliser"):
+        pieces._check_normaliser(lambda t: pieces.normalise(t).replace("\ufb01", "fi"))
+
+
+def test_packing_numbers_full_pieces_once(spark):
+    rows = [(i, " ".join(["word"] * (3_000 + 500 * i))) for i in range(12)]
+    got = packing.pack(docs(spark, rows), packing.tokenizer_path()).collect()
+    full = [r["sequence_id"] for r in got if r["length"] == 2048]
+    assert len(full) == len(set(full)) >= 12 and not set(full) & {r["sequence_id"] for r in got if r["length"] < 2048}
+    assert all(r["offset"] == 0 for r in got if r["length"] == 2048)
