@@ -32,6 +32,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
