@@ -188,11 +188,13 @@ def _aqi_sql(table_: tuple, c: str) -> str:
     return f"CAST(CASE {cases} END AS INTEGER)"
 
 
-_AIR = "air AS (SELECT event_id, event_type, ts, value AS pm25, value * 1.3 AS pm10, floor(value * 10 + 1e-9) / 10.0::DOUBLE AS c25, floor(value * 1.3 + 1e-9) AS c10 FROM events)"
+_AIR = "scaled AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 7 = 0 THEN value * 5 ELSE value END AS v FROM events), air AS (SELECT event_id, event_type, ts, v AS pm25, v * 1.3 AS pm10, floor(v * 10 + 1e-9) / 10.0::DOUBLE AS c25, floor(v * 1.3 + 1e-9) AS c10 FROM scaled)"
 
 
 def _air(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.col("value").alias("pm25"), (F.col("value") * 1.3).alias("pm10"))
+    """Event values as concentrations, every seventh five times as high: some are in the top band, some off the scale."""
+    v = F.when(F.col("event_id") % 7 == 0, F.col("value") * 5).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "ts", v.alias("pm25"), (v * 1.3).alias("pm10"))
 
 
 @query(f"WITH {_AIR} SELECT event_id, {_aqi_sql(air.PM25, 'c25')} AS aqi FROM air")
@@ -208,7 +210,7 @@ def pm10_aqi(spark, sf_dir):
 _CATEGORY = "CASE " + " ".join(f"WHEN aqi >= {low} THEN '{name}'" for low, name in reversed(air.CATEGORIES)) + " END"
 
 
-@query(f"WITH {_AIR}, q AS (SELECT event_id, greatest({_aqi_sql(air.PM25, 'c25')}, {_aqi_sql(air.PM10, 'c10')}) AS aqi FROM air) SELECT {_CATEGORY} AS category, aqi >= 101 AS alert, count(*) AS n FROM q GROUP BY 1, 2")
+@query(f"WITH {_AIR}, s AS (SELECT event_id, pm25, pm10, {_aqi_sql(air.PM25, 'c25')} AS a, {_aqi_sql(air.PM10, 'c10')} AS b FROM air), q AS (SELECT event_id, CASE WHEN (pm25 IS NULL OR a IS NOT NULL) AND (pm10 IS NULL OR b IS NOT NULL) THEN greatest(a, b) END AS aqi FROM s) SELECT {_CATEGORY} AS category, aqi >= 101 AS alert, count(*) AS n FROM q GROUP BY 1, 2")
 def aqi_category(spark, sf_dir):
     aqi = _air(spark, sf_dir).select(air.aqi_from_pollutants(F.col("pm25"), F.col("pm10")).alias("aqi"))
     return aqi.groupBy(air.aqi_category(F.col("aqi")).alias("category"), (F.col("aqi") >= 101).alias("alert")).agg(F.count(F.lit(1)).alias("n"))
