@@ -1,8 +1,4 @@
-"""Queries over a graph of nations and suppliers, and of suppliers in chains.
-
-Queries without SQL take the whole graph. Those with SQL take the pairs of nation and supplier that their SQL keeps
-(three residues of eleven); connected_components takes about a fifth of these edges, as its recursive SQL does.
-"""
+"""Queries over the whole graph of nations and suppliers, and of suppliers in chains."""
 
 from __future__ import annotations
 
@@ -14,27 +10,22 @@ from tessera.sources.tables import table
 
 from .inputs import rounded
 
-# nodes: nations, and suppliers as 1000 + key; an edge where a supplier serves customers of a nation often
+# nodes: nations, and suppliers as 1000 + key; an edge where a supplier serves customers of a nation, and along the chains
 EDGES = """sold AS (SELECT l_suppkey + 1000 AS src, c_nationkey::BIGINT AS dst, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-edges AS (SELECT src, dst, 1.0::DOUBLE AS weight, c FROM sold WHERE (src * 7 + dst * 3) % 11 < 3 UNION ALL SELECT s_suppkey + 1000, s_suppkey + 1001, 1.0, 1 FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey < (SELECT max(s_suppkey) FROM supplier)),
+edges AS (SELECT src, dst, 1.0::DOUBLE AS weight, c FROM sold UNION ALL SELECT s_suppkey + 1000, s_suppkey + 1001, 1.0, 1 FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey < (SELECT max(s_suppkey) FROM supplier)),
 both_ AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE src <> dst GROUP BY 1, 2)"""
 
 
-def whole(spark, sf_dir, pairs="true"):
-    """The pairs of supplier and nation that trade, all or those for which ``pairs`` holds, and the chains of suppliers."""
+def edges(spark, sf_dir):
+    """The pairs of supplier and nation that trade, and the chains of suppliers."""
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    sold = line.groupBy((F.col("l_suppkey") + 1000).alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("c")).where(pairs)
+    sold = line.groupBy((F.col("l_suppkey") + 1000).alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
     supplier = table(spark, sf_dir, "supplier")
     last = F.broadcast(supplier.agg(F.max("s_suppkey").alias("last")))
     chain = supplier.crossJoin(last).where("s_suppkey % 4 <> 0 and s_suppkey < last").selectExpr("s_suppkey + 1000 as src", "s_suppkey + 1001 as dst", "1L as c")
     return sold.unionByName(chain).select("src", "dst", F.lit(1.0).alias("weight"), "c")
 
 
-def edges(spark, sf_dir):
-    """The edges that EDGES keeps."""
-    return whole(spark, sf_dir, "(src * 7 + dst * 3) % 11 < 3")
-
-
 @query(f"WITH {EDGES}, d AS (SELECT src, count(*) AS degree FROM both_ GROUP BY 1) SELECT count(*) AS n, (sum(degree) / 2)::BIGINT AS m, round(avg(degree), 6) AS mean_degree, max(degree) AS max_degree, min(degree) AS min_degree FROM d")
 def degree_stats(spark, sf_dir):
     return rounded(graph.degree_stats(edges(spark, sf_dir)), "mean_degree")
@@ -45,16 +36,12 @@ def degree_histogram(spark, sf_dir):
     return graph.degree_histogram(edges(spark, sf_dir))
 
 
-_CUT = f"{EDGES}, part_ AS (SELECT src, dst FROM both_ WHERE (src + dst) % 5 = 0)"
-
-
-def _cut(spark, sf_dir):
-    return graph.undirected(edges(spark, sf_dir)).where("(src + dst) % 5 = 0")
+_REACH = f"{EDGES}, r(id, root) AS (SELECT DISTINCT src, src FROM both_ UNION SELECT p.dst, r.root FROM r JOIN both_ p ON p.src = r.id), comp AS (SELECT id, min(root) AS component FROM r GROUP BY 1)"
 
 
-@query(f"WITH RECURSIVE {_CUT}, r(id, root) AS (SELECT DISTINCT src, src FROM part_ UNION SELECT p.dst, r.root FROM r JOIN part_ p ON p.src = r.id) SELECT id, min(root) AS component FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {_REACH} SELECT id, component FROM comp")
 def connected_components(spark, sf_dir):
-    return graph.connected_components(_cut(spark, sf_dir))
+    return graph.connected_components(edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, u AS (SELECT src, dst FROM both_ WHERE src < dst) SELECT count(*) AS triangles FROM u x JOIN u y ON x.dst = y.src JOIN u z ON z.src = x.src AND z.dst = y.dst")
@@ -97,38 +84,49 @@ def shortest_times(spark, sf_dir):
     return graph.nearest_source(costs, graph.vertices(costs).where("id % 500 = 3")).select("id", F.round(F.col("cost") / 60, 6).alias("minutes"))
 
 
-@query()
+def _ranks(base: str, rounds: int = 30) -> str:
+    """Power iteration unrolled: ``base`` is each node's share of a restart, and of what nodes without links lose."""
+    steps = ", ".join(
+        f"r{i} AS MATERIALIZED (SELECT b.id, 0.85 * (coalesce(s.inflow, 0) + l.lost * b.base) + 0.15 * b.base AS rank FROM base b LEFT JOIN (SELECT dst AS id, sum(share * rank) AS inflow FROM links JOIN r{i - 1} ON src = id GROUP BY 1) s USING (id), (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM links)) l)"
+        for i in range(1, rounds + 1)
+    )
+    return f"""{EDGES}, flow AS (SELECT src, dst, sum(weight) AS weight FROM edges WHERE src <> dst GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM flow), ids AS (SELECT DISTINCT src AS id FROM both_),
+base AS MATERIALIZED ({base}), r0 AS MATERIALIZED (SELECT id, base AS rank FROM base), {steps} SELECT id, round(rank, 6) AS rank FROM r{rounds}"""
+
+
+@query("WITH " + _ranks("SELECT id, 1.0::DOUBLE / count(*) OVER () AS base FROM ids"))
 def pagerank(spark, sf_dir):
-    return rounded(graph.pagerank(whole(spark, sf_dir), max_iter=30, tol=1e-7), "rank")
+    return rounded(graph.pagerank(edges(spark, sf_dir), max_iter=30, tol=1e-12), "rank")
 
 
-@query()
+@query("WITH " + _ranks("SELECT id, CASE WHEN id < 3 THEN 1.0::DOUBLE / count(*) FILTER (id < 3) OVER () ELSE 0 END AS base FROM ids"))
 def personalized_pagerank(spark, sf_dir):
-    e = whole(spark, sf_dir)
+    e = edges(spark, sf_dir)
     restart = graph.vertices(e).where("id < 3").select("id", F.lit(1.0).alias("weight"))
-    return rounded(graph.pagerank(e, max_iter=30, tol=1e-7, restart=restart), "rank")
+    return rounded(graph.pagerank(e, max_iter=30, tol=1e-12, restart=restart), "rank")
 
 
 @query()
 def label_propagation(spark, sf_dir):
-    return graph.label_propagation(whole(spark, sf_dir))
+    return graph.label_propagation(edges(spark, sf_dir))
 
 
 @query()
 def k_core(spark, sf_dir):
-    return graph.k_core(whole(spark, sf_dir))
+    return graph.k_core(edges(spark, sf_dir))
 
 
 @query()
 def betweenness(spark, sf_dir):
-    return rounded(graph.betweenness(whole(spark, sf_dir)), "betweenness", digits=5)
+    return rounded(graph.betweenness(edges(spark, sf_dir)), "betweenness", digits=5)
 
 
 @query()
 def sample_subgraph(spark, sf_dir):
-    return graph.sample_subgraph(whole(spark, sf_dir), 3, 50)
+    return graph.sample_subgraph(edges(spark, sf_dir), 3, 50)
 
 
-@query()
+@query(f"WITH RECURSIVE {_REACH} SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
 def largest_component(spark, sf_dir):
-    return graph.largest_component(whole(spark, sf_dir))
+    return graph.largest_component(edges(spark, sf_dir))
