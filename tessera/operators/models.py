@@ -92,16 +92,17 @@ def pca_error(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return df.withColumn("error", F.sqrt(_quadratic(columns, mean, np.eye(len(columns)) - np.einsum("ik,jk->ij", axes, axes))))
 
 
-def nmf_topics(counts: DataFrame, doc: str, topics: int, terms: int = 2_000, iters: int = 20, seed: int = 0) -> DataFrame:
+def nmf_topics(counts: DataFrame, doc: str, topics: int, terms: int | None = 2_000, iters: int = 20, seed: int = 0) -> DataFrame:
     """(topic, term, weight) of a non-negative factorisation of ``doc, term, n`` by multiplicative updates.
 
-    The ``terms`` most frequent terms count (a bound on the model). Documents' rows stay on the workers; a round
+    The ``terms`` most frequent terms count (a bound on the model, which driver and workers hold), or all of them
+    with None. Documents' rows stay on the workers; a round
     sends the topics-by-terms matrix out and its two sums back.
     """
-    vocabulary = [r["term"] for r in counts.groupBy("term").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "term").limit(terms).collect()]
+    vocabulary = [r["term"] for r in counts.groupBy("term").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "term").limit(terms or 2**31 - 1).collect()]
     place = {t: i for i, t in enumerate(vocabulary)}
     known = counts.sparkSession.createDataFrame(list(place.items()), "term string, j int")
-    rows = counts.join(F.broadcast(known), "term").groupBy(doc).agg(F.collect_list("j").alias("j"), F.collect_list(F.col("n").cast("double")).alias("v")).cache()
+    rows = counts.join(F.broadcast(known) if terms else known, "term").groupBy(doc).agg(F.collect_list("j").alias("j"), F.collect_list(F.col("n").cast("double")).alias("v")).cache()
     h = np.random.default_rng(seed).uniform(0.1, 1.0, (topics, len(vocabulary)))
     for _ in range(iters):
         shared = counts.sparkSession.sparkContext.broadcast(h)

@@ -133,10 +133,10 @@ for _name, _column in {"precision_at_k": "precision", "recall_at_k": "recall", "
     query(f"WITH {_RANKED} SELECT round(avg({_column}), 6) AS {_name} FROM per", _name)(lambda spark, sf_dir, c=_column, n=_name: metrics.ranking(*_recs(spark, sf_dir), 10).agg(F.round(F.avg(c), 6).alias(n)))
 
 
-@query(f"WITH {_RANKED} SELECT round((SELECT count(DISTINCT item) FROM recs WHERE rank = 1 AND \"user\" % 5 = 0 AND item IN (SELECT p_size FROM part)) / (SELECT count(DISTINCT p_size) FROM part), 6) AS coverage")
+@query(f"WITH {_RANKED} SELECT round((SELECT count(DISTINCT item) FROM recs WHERE item IN (SELECT p_size FROM part)) / (SELECT count(DISTINCT p_size) FROM part), 6) AS coverage")
 def catalog_coverage(spark, sf_dir):
     recs, _ = _recs(spark, sf_dir)
-    return rounded(metrics.catalog_coverage(recs.where("rank = 1 and user % 5 = 0"), table(spark, sf_dir, "part").select(F.col("p_size").alias("item"))), "coverage")
+    return rounded(metrics.catalog_coverage(recs, table(spark, sf_dir, "part").select(F.col("p_size").alias("item"))), "coverage")
 
 
 _HALVES = "r AS (SELECT o_totalprice AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'), c AS (SELECT o_totalprice * 1.1 + 500 AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01')"

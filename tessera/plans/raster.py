@@ -29,10 +29,10 @@ def _bands() -> dict:
     return {b: F.col(b) for b in ("nir", "red", "green", "blue", "rededge", "swir1", "swir2")}
 
 
-@query(f"WITH {PIXELS} SELECT t::VARCHAR AS t, " + ", ".join(f"round(median({sql}), 9) + 0 AS {name}" for name, sql in _SQL.items()) + " FROM pixels WHERE year(t) = 1997 GROUP BY 1")
+@query(f"WITH {PIXELS} SELECT t::VARCHAR AS t, " + ", ".join(f"round(median({sql}), 9) + 0 AS {name}" for name, sql in _SQL.items()) + " FROM pixels GROUP BY 1")
 def spectral_indices(spark, sf_dir):
     """All indices in one projection, told as each day's medians."""
-    px = pixels(spark, sf_dir).where("year(t) = 1997")
+    px = pixels(spark, sf_dir)
     out = px.select("t", *[spectral.compute_index(n, _bands()).alias(n) for n in spectral.list_indices()])
     return out.groupBy(F.col("t").cast("string").alias("t")).agg(*[F.round(F.median(n), 9).alias(n) for n in spectral.list_indices()])
 
@@ -240,9 +240,9 @@ def spatial_agreement(spark, sf_dir):
     return rounded(raster.spatial_agreement(found, 7), "detection_rate", "false_alarm_rate")
 
 
-@query(f"WITH {_NDVI} SELECT y, x, (DATE '1970-01-01' + ((t - DATE '1970-01-01') // 64 * 64)::INTEGER)::VARCHAR AS period_start, round(median(ndvi), 6) AS ndvi FROM px WHERE year(t) = 1997 AND y < 50 GROUP BY 1, 2, (t - DATE '1970-01-01') // 64")
+@query(f"WITH {_NDVI} SELECT y, x, (DATE '1970-01-01' + ((t - DATE '1970-01-01') // 64 * 64)::INTEGER)::VARCHAR AS period_start, round(median(ndvi), 6) AS ndvi FROM px GROUP BY 1, 2, (t - DATE '1970-01-01') // 64")
 def period_composite(spark, sf_dir):
-    out = raster.period_composite(_ndvi(spark, sf_dir).where("year(t) = 1997 and y < 50"), "ndvi", 64)
+    out = raster.period_composite(_ndvi(spark, sf_dir), "ndvi", 64)
     return rounded(out, "ndvi").withColumn("period_start", F.col("period_start").cast("string"))
 
 

@@ -149,16 +149,16 @@ def chunk_documents(spark, sf_dir):
     return text.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_id", F.md5("chunk").alias("chunk_md5"))
 
 
-def _vectors(spark, sf_dir, queries):
+def _vectors(spark, sf_dir):
+    """Every twentieth vector as a query, and all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    return e.where(queries).select(F.col("vec_id").alias("q"), "embedding"), e.select("vec_id", "embedding")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding"), e.select("vec_id", "embedding")
 
 
-@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50),
+@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(score, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    """The fifty query vectors of its SQL against all vectors."""
-    queries, vectors = _vectors(spark, sf_dir, "vec_id < 50")
+    queries, vectors = _vectors(spark, sf_dir)
     return rounded(text.cosine_topk(queries, vectors, 5, "q", "vec_id"), "score", digits=5)
 
 
@@ -199,7 +199,7 @@ def extractive_answer(spark, sf_dir):
 
 @query()
 def mmr_select(spark, sf_dir):
-    queries, vectors = _vectors(spark, sf_dir, "vec_id % 20 = 0")
+    queries, vectors = _vectors(spark, sf_dir)
     pool = text.cosine_topk(queries, vectors, 20, "q", "vec_id").join(vectors, "vec_id")
     return text.mmr(pool, 5, "q", "vec_id", "embedding", "score")
 
