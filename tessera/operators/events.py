@@ -91,28 +91,40 @@ def heavy_hitters(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def heavy_hitter_candidates(df: DataFrame, key: str, k: int, counters: int | None = None) -> DataFrame:
-    """Bounded-memory form: mergeable Misra-Gries counters per task, merged, then an exact count of the candidates."""
+    """Bounded-memory form of ``heavy_hitters`` over keys that are not null: Misra-Gries counters per task, then an exact count of the candidates.
+
+    A key that no task kept has occurred at most as often as the tasks took off their counters. Where the last of the
+    top k is not above that, all keys are counted after all, so the result is exact.
+    """
+    from tessera.runtime import checkpoint
+
+    df = df.where(F.col(key).isNotNull())
     size = counters or max(2 * k, k + 8)
 
-    def shrink(counts: dict) -> dict:
+    def shrink(counts: dict) -> tuple[dict, int]:
         if len(counts) <= size:
-            return counts
+            return counts, 0
         cut = sorted(counts.values(), reverse=True)[size]
-        return {x: n - cut for x, n in counts.items() if n > cut}
+        return {x: n - cut for x, n in counts.items() if n > cut}, cut
 
     def summarise(batches):
         import pandas as pd
 
-        counts: dict = {}
+        counts, lost = {}, 0
         for batch in batches:
             for x, n in batch[key].value_counts().items():
                 counts[x] = counts.get(x, 0) + int(n)
-            counts = shrink(counts)
-        yield pd.DataFrame({key: list(counts)})
+            counts, cut = shrink(counts)
+            lost += cut
+        yield pd.DataFrame({"key": pd.Series([*counts, None], dtype=object), "lost": [0] * len(counts) + [lost]})
 
     kind = df.schema[key].dataType.simpleString()
-    candidates = df.select(key).mapInPandas(summarise, f"`{key}` {kind}").distinct()
-    return heavy_hitters(df.join(candidates, key, "left_semi"), key, k)
+    found = checkpoint(df.select(key).mapInPandas(summarise, f"key {kind}, lost long"))
+    candidates = found.where("key is not null").select(F.col("key").alias(key)).distinct()
+    top = checkpoint(heavy_hitters(df.join(candidates, key, "left_semi"), key, k))
+    rows, last = top.agg(F.count(F.lit(1)), F.min("n")).first()
+    lost = found.agg(F.coalesce(F.sum("lost"), F.lit(0))).first()[0]
+    return top if not lost or (rows == k and last > lost) else heavy_hitters(df, key, k)
 
 
 def reorder_within_lateness(df: DataFrame, lateness_s: float, arrival: str, ts: str = "ts", key: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered, running
+
 
 def _ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     out = F.try_divide(a.cast("double"), b.cast("double"))
@@ -62,8 +64,7 @@ def multiclass_summary(df: DataFrame, y: str, pred: str) -> DataFrame:
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """Positives and negatives at each score and above it."""
     groups = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("q"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return groups.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("q").over(above)})
+    return running(groups, [F.desc("score")], {"tp": "p", "fp": "q"})
 
 
 def _totals(df: DataFrame, y: str) -> DataFrame:
@@ -159,9 +160,10 @@ def ks(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """Largest gap between the two empirical distribution functions."""
     both = reference.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("v is not null")
     groups = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto, total = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(total) - F.sum("b").over(upto) / F.sum("b").over(total))
-    return groups.select(gap.alias("g")).agg(F.coalesce(F.max("g"), F.lit(0.0)).alias("ks"))
+    upto = running(groups, ["v"], {"upto_a": "a", "upto_b": "b"})
+    total = F.broadcast(upto.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b")))  # one row
+    gap = F.abs(F.col("upto_a") / F.col("all_a") - F.col("upto_b") / F.col("all_b"))
+    return upto.crossJoin(total).select(gap.alias("g")).agg(F.coalesce(F.max("g"), F.lit(0.0)).alias("ks"))
 
 
 def feature_drift_report(reference: DataFrame, current: DataFrame, features: list[str], threshold: float = 0.25) -> DataFrame:
@@ -184,8 +186,7 @@ def gini(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1.0)
     x = F.when(F.col(value) < 0, F.raise_error(F.lit("negative value"))).otherwise(F.col(value))
     groups = df.where(F.col(value).isNotNull()).groupBy(x.alias("x")).agg(F.sum(w).alias("w"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cum = groups.select("x", "w", F.sum("w").over(upto).alias("cw"))
+    cum = running(groups, ["x"], {"cw": "w"})
     a = cum.agg(F.sum(F.col("w") * F.col("x") * (2 * F.col("cw") - F.col("w"))).alias("s"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("t"))
     return a.select(F.coalesce(F.try_divide(F.col("s"), F.col("n") * F.col("t")) - 1, F.lit(0.0)).alias("gini"))
 
@@ -193,8 +194,9 @@ def gini(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """Rows with ``rejected``: p at most the largest p of rank k with p <= k / m * alpha. Ranks are counted over groups of equal p."""
     groups = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    rank, m = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(Window.partitionBy())
-    cut = groups.select("v", (F.col("v") <= rank / m * alpha).alias("ok")).agg(F.max(F.when(F.col("ok"), F.col("v"))).alias("_cut"))
+    ranked = running(groups, ["v"], {"rank": "n"})
+    m = F.broadcast(ranked.agg(F.sum("n").alias("m")))  # one row
+    cut = ranked.crossJoin(m).select("v", (F.col("v") <= F.col("rank") / F.col("m") * alpha).alias("ok")).agg(F.max(F.when(F.col("ok"), F.col("v"))).alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
@@ -208,8 +210,8 @@ def batch_metrics(df: DataFrame, image: str, y: str, score: str, threshold: floa
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:
-    """Rows with ``label_index``: the label's place among the sorted different labels, which are few."""
-    index = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("label_index", F.row_number().over(Window.orderBy(label)) - 1)
+    """Rows with ``label_index``: the label's place among the sorted different labels."""
+    index = numbered(df.select(label).where(F.col(label).isNotNull()).distinct(), [label], "label_index").withColumn("label_index", F.col("label_index").cast("int"))
     return df.join(index, label, "left")
 
 

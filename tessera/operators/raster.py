@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered
+
 from . import graph
 
 # Scene classes to mask, and burn severity limits.
@@ -128,7 +130,7 @@ def label_components(mask: DataFrame, width: int, diagonal: bool = False) -> Dat
     links = ahead.join(cells.select(F.col("id").alias("dst"), "y", "x"), ["y", "x"]).select("src", "dst")
     c = graph.connected_components(links)
     labelled = cells.join(c, "id", "left").select("y", "x", F.coalesce("component", "id").alias("root"))
-    numbers = labelled.select("root").distinct().select("root", F.row_number().over(Window.orderBy("root")).alias("label"))
+    numbers = numbered(labelled.select("root").distinct(), ["root"], "label", first=1).withColumn("label", F.col("label").cast("int"))
     return labelled.join(numbers, "root").select("y", "x", "label")
 
 

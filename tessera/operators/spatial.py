@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import EARTH_RADIUS_KM, haversine_km
+from tessera.operators.ordered import numbered
 
 
 def rook_weights(cells: DataFrame, queen: bool = False) -> DataFrame:
@@ -85,7 +86,7 @@ def bivariate_moran(x: DataFrame, y: DataFrame, w: DataFrame) -> DataFrame:
 
 def permutation_moran(values: DataFrame, w: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
     """Moran's I with its pseudo p-value: values are dealt anew to places by hash order, permutation by permutation, in one plan."""
-    places = values.select("id", F.row_number().over(Window.orderBy("id")).alias("r"))
+    places = numbered(values.select("id"), ["id"], "r", first=1)
     runs = values.select("x", "id", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("p"))
     dealt = runs.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.when(F.col("p") > 0, F.xxhash64("p", F.lit(seed), "id")).otherwise(0), "id")))
     z = dealt.join(places.select(F.col("id").alias("place"), "r"), "r").select("p", "place", (F.col("x") - F.avg("x").over(Window.partitionBy("p"))).alias("z"), F.var_pop("x").over(Window.partitionBy("p")).alias("m2"))
@@ -189,10 +190,12 @@ def two_step_catchment(pairs: DataFrame, demand: DataFrame, supply: DataFrame, p
 def knn_weights(points: DataFrame, k: int, point_id: str, first_km: float = 100.0) -> DataFrame:
     """Neighbour table of each point's k nearest others (ties to the smaller id), row-standardised.
 
-    Rings again: points with fewer than k others within reach go on with twice the distance.
+    Rings again: points with fewer than k others within reach go on with twice the distance. Points without both
+    coordinates have no neighbours and are none.
     """
     from tessera.runtime import checkpoint
 
+    points = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
     n = points.count()
     need, out, left, km = min(k, n - 1), None, points, first_km
     while need > 0:
@@ -205,6 +208,8 @@ def knn_weights(points: DataFrame, k: int, point_id: str, first_km: float = 100.
         if left.isEmpty():
             break
         km *= 2
+    if out is None:
+        out = points.select(F.col(point_id).alias("i"), F.col(point_id).alias("j")).limit(0)
     return row_standardize(out.select("i", "j", F.lit(1.0).alias("w")))
 
 
@@ -247,7 +252,7 @@ def compare_weights(weights: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
 
 def permutation_local(values: DataFrame, w: DataFrame, permutations: int = 99, seed: int = 42, significance: float = 0.05) -> DataFrame:
     """(id, local_i, p_value, label): local Moran against values dealt anew by hash order; the label is the quadrant where significant, else 'ns'."""
-    places = values.select("id", F.row_number().over(Window.orderBy("id")).alias("r"))
+    places = numbered(values.select("id"), ["id"], "r", first=1)
     runs = values.select("x", "id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
     dealt = runs.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("p", F.lit(seed), "id"), "id"))).join(places.withColumnRenamed("id", "place"), "r")
     z = values.crossJoin(F.broadcast(values.agg(F.avg("x").alias("m"), F.var_pop("x").alias("m2"))))  # one row

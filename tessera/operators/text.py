@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.ordered import numbered
 
 
 def mask_templates(lines: DataFrame, line: str = "line", number: str = "line_no") -> DataFrame:
     """(template, template_id, n): ids from 0 by first line."""
     t = lines.groupBy(tx.mask_line(F.col(line)).alias("template")).agg(F.min(number).alias("first"), F.count(F.lit(1)).alias("n"))
-    return t.select("template", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("template_id"), "n")
+    return numbered(t, ["first", "template"], "template_id").select("template", "template_id", "n")
 
 
 def session_templates(lines: DataFrame, session: Column, line: str = "line") -> DataFrame:

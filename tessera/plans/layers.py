@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.catalogue import query
 from tessera.operators import marts, quality
 from tessera.operators.layers import Model, build_models
+from tessera.runtime import fresh_folder
 from tessera.sources import sinks, tables
 from tessera.sources.tables import table
 
@@ -42,8 +40,7 @@ def layered_build_tests(spark, sf_dir):
 @query("SELECT day(ts)::BIGINT AS day, count(*) AS n, round(sum(value), 3) AS value FROM events WHERE year(ts) = 2024 AND month(ts) = 1 GROUP BY 1")
 def hive_partition_pruned_scan(spark, sf_dir):
     """A lake by year and month, read by partition path."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-    root = f"{shared}/lake-{uuid.uuid4().hex}"
+    root = fresh_folder(spark, "lake")
     sinks.write_monthly_lake(table(spark, sf_dir, "events").select("ts", "value"), root)
     month = spark.read.option("basePath", root).parquet(*tables.partition_paths(root, [2024], [1]))
     return month.groupBy(F.day("ts").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("value"))

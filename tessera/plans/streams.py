@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.catalogue import query
+from tessera.runtime import fresh_folder
 from tessera.streaming import operators as st
 
 
@@ -17,8 +14,7 @@ def _events(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "stream")
 
 
 @query("SELECT date_trunc('minute', ts) AS window_start, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('minute', any_value(ts)) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE")

@@ -1,19 +1,32 @@
-"""Checkpoints for iterative operators, in the folder that driver and executors share."""
+"""Checkpoints and other intermediate data, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder only where it is unset and Spark is local."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder for data that a result is read from."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to ``spark.checkpoint.dir``; a local folder only where it is unset and Spark is local."""
+    """Cut the lineage by writing to the shared folder. The files go when nothing refers to the result any more."""
     sc = df.sparkSession.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

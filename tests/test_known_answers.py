@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.catalogue import QUERIES
 from tessera.functions import air, geo, spectral
 from tessera.functions import text as tx
-from tessera.operators import events, graph, metrics, models, quality, raster, series, spatial, text, trend
+from tessera.operators import events, graph, metrics, models, ordered, quality, raster, series, spatial, text, trend
 from tessera.operators.layers import Model, build_models
 from tessera.plans import graph as plans
 from tessera.sources import sinks, tables
@@ -28,6 +28,12 @@ def value(spark, column):
 def test_air_quality(spark):
     for conc, want in ((12.0, 50), (9.0, 38), (12.04, 50), (35.5, 101), (0.0, 0), (600.0, None)):
         assert value(spark, air.pm25_to_aqi(F.lit(conc))) == want
+    for conc, want in ((250.5, 301), (300.0, 340), (350.4, 381), (500.4, 500), (500.5, None), (600.0, None), (-1.0, None)):
+        assert value(spark, air.pm25_to_aqi(F.lit(conc))) == want
+    for conc, want in ((425.0, 301), (450.0, 329), (504.0, 389), (604.0, 500), (605.0, None)):
+        assert value(spark, air.pm10_to_aqi(F.lit(conc))) == want
+    assert value(spark, air.aqi_from_pollutants(F.lit(600.0), F.lit(20.0))) is None
+    assert value(spark, air.aqi_from_pollutants(F.lit(500.0), F.lit(20.0))) == 500
     assert value(spark, air.pm10_to_aqi(F.lit(54.0))) == 50
     assert value(spark, air.aqi_from_pollutants(F.lit(12.0), F.lit(None).cast("double"))) == 50
     assert value(spark, air.aqi_category(F.lit(101))) == "Unhealthy for Sensitive Groups"
@@ -206,7 +212,7 @@ def test_graph_queries_without_sql_take_the_whole_graph(spark, data):
     pairs = con.execute("SELECT DISTINCT l_suppkey + 1000, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey").fetchall()
     last = con.execute("SELECT max(s_suppkey) FROM supplier").fetchone()[0]
     pairs += [(k + 1000, k + 1001) for (k,) in con.execute("SELECT s_suppkey FROM supplier").fetchall() if k % 4 and k < last]
-    assert plans.whole(spark, data).count() == len(pairs)
+    assert plans.edges(spark, data).count() == len(pairs)
     near = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
@@ -364,3 +370,30 @@ def test_sources_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     runs = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", None)], "run_id string, auc double")
     assert one(sinks.best_run(runs, "auc"))["run_id"] == "b"
+
+
+def test_heavy_hitter_candidates_are_exact(spark):
+    even = spark.range(0, 40_000, 1, 4).select((F.col("id") % 5000).cast("string").alias("key"))
+    hot = even.unionByName(spark.range(3_000).select(F.lit("hot").alias("key")))
+    for rows in (even, hot, hot.unionByName(spark.range(9).select(F.lit(None).cast("string").alias("key")))):
+        for k in (1, 3, 10):
+            want = events.heavy_hitters(rows.where("key is not null"), "key", k).collect()
+            assert events.heavy_hitter_candidates(rows, "key", k).collect() == want and len(want) == k
+
+
+def test_neighbours_of_points_without_coordinates(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, None, 1.0), (4, 1.0, None), (5, float("nan"), 0.0)], "id long, lat double, lon double")
+    assert sorted((r["i"], r["j"]) for r in spatial.knn_weights(points, 2, "id").collect()) == [(1, 2), (2, 1)]
+    assert spatial.knn_weights(points.where("id > 1"), 2, "id").collect() == []
+
+
+def test_running_totals_by_range(spark):
+    rows = [((i * 7919) % 1009, i % 5 - 1.5) for i in range(1009)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(7)
+    got = {r["k"]: (r["upto"], r["n"]) for r in ordered.numbered(ordered.running(df, [F.desc("k")], {"upto": "x"}), [F.desc("k")], "n").collect()}
+    total, want = 0.0, {}
+    for n, (k, x) in enumerate(sorted(rows, reverse=True)):
+        total += x
+        want[k] = (pytest.approx(total), n)
+    assert got == want
+    assert ordered.numbered(df.where("k < 0"), ["k"], "n").collect() == []
