@@ -67,3 +67,13 @@ def distance_band(distance: Column, edges: list[float], unit: str = "km") -> Col
     for low, high in zip(edges, edges[1:], strict=False):
         out = out.when(distance <= high, f"{name(low)}-{name(high)} {unit}")
     return out.when(distance.isNotNull(), f"{name(edges[-1])}+ {unit}")
+
+
+def bbox_of_geojson(doc: Column) -> Column:
+    """min_lon, min_lat, max_lon, max_lat over all coordinates of a GeoJSON text: geometry, collection, feature or features; null without any."""
+    paths = [f"$.{at}{inner}coordinates" for at in ("", "geometry.", "features[*].geometry.") for inner in ("", "geometries[*].")]
+    text = F.concat_ws(" ", *[F.get_json_object(doc, p) for p in paths])
+    number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    axis = lambda k: F.transform(F.regexp_extract_all(text, F.lit(rf"\[\s*{number}\s*,\s*{number}"), F.lit(k)), lambda v: v.cast("double"))
+    lon, lat = axis(1), axis(2)
+    return F.when(F.size(lon) > 0, F.struct(F.array_min(lon).alias("min_lon"), F.array_min(lat).alias("min_lat"), F.array_max(lon).alias("max_lon"), F.array_max(lat).alias("max_lat")))

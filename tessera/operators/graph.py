@@ -245,3 +245,8 @@ def edge_times(edges: DataFrame, speeds: dict[str, float], default: float, highw
     table: Column = F.create_map(*[F.lit(x) for pair in speeds.items() for x in pair])
     speed = F.coalesce(F.element_at(table, F.col(highway)), F.lit(default))
     return edges.withColumn("speed_kph", speed).withColumn("travel_time", F.col(length) / (F.col("speed_kph") / 3.6))
+
+
+def total_network_time(edges: DataFrame, time: str = "travel_time") -> DataFrame:
+    """Seconds over all edges; edges without a time count nothing."""
+    return edges.agg(F.coalesce(F.sum(time), F.lit(0.0)).alias("total_time"))

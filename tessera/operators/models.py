@@ -159,3 +159,62 @@ def gwr(points: DataFrame, pairs: DataFrame, point_id: str, other_id: str, bandw
     s = rows.groupBy(point_id).agg(*[F.sum(F.col("w") * e).alias(n) for n, e in {"sw": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y")}.items()])
     slope = F.try_divide(F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
     return s.withColumn("slope", slope).select(point_id, ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).alias("intercept"), "slope")
+
+
+def als_biased(ratings: DataFrame, rank: int = 4, reg: float = 0.1, iters: int = 5, seed: int = 0) -> tuple[float, DataFrame, DataFrame]:
+    """Global mean, (user, bias, factors) and (item, bias, factors) of ``user, item, rating``: biases and factors by turns, each in closed form.
+
+    Each half of a sweep is one join and one aggregation of a row's normal equations, ``rank`` squared numbers a
+    row; the small systems are solved in batches. Factors start from a hash of the id.
+    """
+    from tessera.runtime import checkpoint
+
+    mu = ratings.agg(F.avg("rating")).first()[0] or 0.0
+    pairs = checkpoint(ratings.select("user", "item", (F.col("rating") - mu).alias("r")))
+
+    @F.pandas_udf("array<double>")
+    def solve(a: pd.Series, b: pd.Series) -> pd.Series:
+        left, right = np.stack(a.to_list()).reshape(len(a), rank, rank), np.stack(b.to_list())
+        return pd.Series(list(np.linalg.solve(left + reg * np.eye(rank), right[..., None])[..., 0]))
+
+    def start(name: str) -> DataFrame:
+        draw = [(F.pmod(F.xxhash64(F.lit(f"{name}-{seed}-{k}"), name), F.lit(2_001)) / 1_000.0 - 1) * 0.1 for k in range(rank)]
+        return pairs.select(name).distinct().select(name, F.lit(0.0).alias(f"{name}_bias"), F.array(*draw).alias(f"{name}_factors"))
+
+    def rows(users: DataFrame, items: DataFrame) -> DataFrame:
+        return pairs.join(users, "user").join(items, "item")
+
+    def dot(a: str, b: str):
+        return sum((F.col(a)[k] * F.col(b)[k] for k in range(rank)), F.lit(0.0))
+
+    def refit(name: str, other: str, users: DataFrame, items: DataFrame) -> DataFrame:
+        """New biases, then new factors, of one side."""
+        rest = F.col("r") - F.col(f"{other}_bias") - dot("user_factors", "item_factors")
+        bias = rows(users, items).groupBy(name).agg((F.sum(rest) / (F.count(F.lit(1)) + reg)).alias(f"{name}_bias"))
+        own = (users if name == "user" else items).drop(f"{name}_bias").join(bias, name)
+        sides = (own, items) if name == "user" else (users, own)
+        left = F.col("r") - F.col("user_bias") - F.col("item_bias")
+        v = [F.col(f"{other}_factors")[k] for k in range(rank)]
+        sums = rows(*sides).groupBy(name).agg(F.array(*[F.sum(x * z) for x in v for z in v]).alias("a"), F.array(*[F.sum(x * left) for x in v]).alias("b"))
+        return checkpoint(bias.join(sums, name).select(name, f"{name}_bias", solve("a", "b").alias(f"{name}_factors")))
+
+    users, items = checkpoint(start("user")), checkpoint(start("item"))
+    for _ in range(iters):
+        users = refit("user", "item", users, items)
+        items = refit("item", "user", users, items)
+    return mu, users, items
+
+
+def predict_biased(pairs: DataFrame, mu: float, users: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs(user, item, ...)`` with ``pred``; an unknown user or item adds nothing."""
+    known = pairs.join(users, "user", "left").join(items, "item", "left")
+    fit = F.aggregate(F.zip_with("user_factors", "item_factors", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    nothing = F.lit(0.0)
+    return known.withColumn("pred", F.lit(mu) + F.coalesce("user_bias", nothing) + F.coalesce("item_bias", nothing) + F.coalesce(fit, nothing)).select(*pairs.columns, "pred")
+
+
+def recommend_classes(df: DataFrame, row_id: str, probability: str, classes: list[str]) -> DataFrame:
+    """(row, rank, label, probability): each row's classes from the likeliest down, ties in the order of ``classes``."""
+    names = F.array(*[F.lit(c) for c in classes])
+    pairs = F.zip_with(F.transform(names, lambda n, i: F.struct(n.alias("label"), i.alias("i"))), F.col(probability), lambda n, p: F.struct((-p).alias("down"), n["i"].alias("i"), n["label"].alias("label")))
+    return df.select(row_id, F.posexplode(F.array_sort(pairs)).alias("pos", "c")).select(row_id, (F.col("pos") + 1).alias("rank"), F.col("c.label").alias("label"), (-F.col("c.down")).alias("probability"))

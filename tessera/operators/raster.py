@@ -211,3 +211,17 @@ def band_features(df: DataFrame, bands: list[str], by: str) -> DataFrame:
 
 def count_objects(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.count_distinct(F.when(F.col("label") != 0, F.col("label"))).alias("objects"))
+
+
+def rasterize_event(cells: DataFrame, ring: Column, size: float = 1.0) -> DataFrame:
+    """Pixels ``y, x`` with ``event``: whether their centre lies in the ring (array of structs x, y), given in units of pixels of ``size``."""
+    from tessera.operators.spatial import contains
+
+    return cells.withColumn("event", contains((F.col("x") + 0.5) * size, (F.col("y") + 0.5) * size, ring))
+
+
+def change_inputs(df: DataFrame, value: str, before: tuple[str, str], after: tuple[str, str], t: str = "t") -> DataFrame:
+    """(y, x, before, after, delta): median composites of two periods (both days included) where both have a valid pixel."""
+    at = lambda days: F.median(F.when(F.col(t).between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")), F.col(value)))
+    both = df.groupBy("y", "x").agg(at(before).alias("before"), at(after).alias("after")).where("before is not null and after is not null")
+    return both.withColumn("delta", F.col("after") - F.col("before"))

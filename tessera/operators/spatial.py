@@ -262,3 +262,45 @@ def permutation_local(values: DataFrame, w: DataFrame, permutations: int = 99, s
     each = lags.join(own, "id").select("id", (F.col("z") * (F.col("lag") - F.col("m")) / F.col("m2")).alias("i")).join(real, "id")
     p = each.groupBy("id", "local_i", "quadrant").agg(((F.least(F.count_if(F.col("i") >= F.col("local_i")), F.count_if(F.col("i") <= F.col("local_i"))) + 1) / F.lit(permutations + 1)).alias("p_value"))
     return p.select("id", "local_i", "p_value", F.when(F.col("p_value") <= significance, F.col("quadrant")).otherwise("ns").alias("label"))
+
+
+def snap_to_nodes(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str = "node_id") -> DataFrame:
+    """Points ``lat, lon`` with ``node_id`` and ``snap_km``: the nearest node, the smallest id of equally near ones."""
+    return nearest_facility(points, nodes, point_id, node_id).withColumnsRenamed({"nearest_id": node_id, "nearest_km": "snap_km"})
+
+
+def source_nodes(snapped: DataFrame, node_id: str = "node_id") -> DataFrame:
+    """The different nodes that points were snapped to, as ``id``."""
+    return snapped.select(F.col(node_id).alias("id")).where("id is not null").distinct()
+
+
+def queen_contiguity(areas: DataFrame, area: str, on_islands: str = "raise", digits: int = 9) -> DataFrame:
+    """Neighbour table of areas ``area, ring`` that share a corner point, row-standardised.
+
+    Areas without a neighbour raise an error, or are left out with ``on_islands="ignore"``. Corners are compared
+    to ``digits`` decimals.
+    """
+    if on_islands not in ("raise", "ignore"):
+        raise ValueError("on_islands is 'raise' or 'ignore'")
+    corners = areas.select(F.col(area).alias("i"), F.explode("ring").alias("p")).select("i", F.round("p.x", digits).alias("x"), F.round("p.y", digits).alias("y")).distinct()
+    w = corners.join(corners.withColumnRenamed("i", "j"), ["x", "y"]).where("i <> j").select("i", "j").distinct().withColumn("w", F.lit(1.0))
+    if on_islands == "raise" and (island := areas.join(w, F.col(area) == F.col("i"), "left_anti").select(area).first()):
+        raise ValueError(f"area {island[0]!r} has no neighbour")
+    return row_standardize(w)
+
+
+def permutation_gi_star(values: DataFrame, w: DataFrame, permutations: int = 99, seed: int = 42, significance: float = 0.05) -> DataFrame:
+    """(id, g_star, p_value, label): z-scores against values dealt anew by hash order; 'hot' or 'cold' where significant, else 'ns'.
+
+    A place keeps its own value, as its neighbours get others.
+    """
+    places = numbered(values.select("id"), ["id"], "r", first=1)
+    runs = values.select("x", "id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    dealt = runs.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("p", F.lit(seed), "id"), "id"))).join(places.withColumnRenamed("id", "place"), "r")
+    around = w.join(dealt.select(F.col("place").alias("j"), "p", "x"), "j").groupBy(F.col("i").alias("id"), "p").agg(F.sum(F.col("w") * F.col("x")).alias("sum"))
+    real = w.join(values.select(F.col("id").alias("j"), "x"), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("own"))
+    higher, lower = F.count_if(F.col("sum") >= F.col("own")), F.count_if(F.col("sum") <= F.col("own"))
+    p = around.join(real, "id").groupBy("id").agg(((F.least(higher, lower) + 1) / F.lit(permutations + 1)).alias("p_value"))
+    out = getis_ord(values, w).join(p, "id", "left")
+    hot = F.col("p_value") <= significance
+    return out.withColumn("label", F.when(hot & (F.col("g_star") > 0), "hot").when(hot & (F.col("g_star") < 0), "cold").otherwise("ns"))

@@ -109,3 +109,41 @@ def binary_segmentation(df: DataFrame, key: str, max_breaks: int = 3, threshold:
         return pd.DataFrame(out, columns=[key, "break_index", "score"])
 
     return df.select(key, "t", "y").groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, break_index int, score double")
+
+
+def pelt(df: DataFrame, key: str, penalty: float = 3.0, min_segment: int = 2, jump: int = 5) -> DataFrame:
+    """(key, break_index, magnitude, score) of the segmentation with the least squared error plus ``penalty`` a break, by pruned exact search.
+
+    Breaks lie at multiples of ``jump``. A gap counts as the series' mean. break_index is the last point before a
+    break, magnitude the step between the segments' means, score its size. A series is worked on in one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y = rows.sort_values("t")["y"].to_numpy(float)
+        n, out = len(y), []
+        if np.isfinite(y).any():
+            y = np.where(np.isfinite(y), y, y[np.isfinite(y)].mean())
+            one, two = np.concatenate(([0.0], np.cumsum(y))), np.concatenate(([0.0], np.cumsum(y * y)))
+            best, came, open_ = {0: -penalty}, {}, [0]
+            for end in [e for e in range(jump, n, jump) if e >= min_segment] + [n]:
+                starts = np.array([s for s in open_ if end - s >= min_segment])
+                if not len(starts):
+                    continue
+                cost = two[end] - two[starts] - (one[end] - one[starts]) ** 2 / (end - starts) + np.array([best[s] for s in starts])
+                k = int(np.argmin(cost))
+                best[end], came[end] = float(cost[k]) + penalty, int(starts[k])
+                gone = set(starts[cost > best[end]].tolist())  # can never begin the last segment of a better split
+                open_ = [s for s in open_ if s not in gone] + [end]
+            breaks, at = [], n
+            while at in came and came[at]:
+                at = came[at]
+                breaks.append(at)
+            edges = [0, *breaks[::-1], n]
+            for a, b, c in zip(edges, edges[1:], edges[2:], strict=False):
+                step = y[b:c].mean() - y[a:b].mean()
+                out.append((rows[key].iloc[0], b - 1, step, abs(step)))
+        return pd.DataFrame(out, columns=[key, "break_index", "magnitude", "score"])
+
+    return df.select(key, "t", "y").groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, break_index int, magnitude double, score double")

@@ -130,3 +130,13 @@ def sample_subgraph(spark, sf_dir):
 @query(f"WITH RECURSIVE {_REACH} SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
 def largest_component(spark, sf_dir):
     return graph.largest_component(edges(spark, sf_dir))
+
+
+_SPEED = "CASE kind WHEN 'motorway' THEN 100 WHEN 'residential' THEN 30 ELSE 50 END::DOUBLE"
+
+
+@query(f"WITH {EDGES}, roads AS (SELECT CASE src % 3 WHEN 0 THEN 'motorway' WHEN 1 THEN 'residential' ELSE 'track' END AS kind, (src % 50 + dst % 50 + 1) * 100.0::DOUBLE AS m FROM edges) SELECT round(sum(m / ({_SPEED} / 3.6)), 4) AS total_time FROM roads")
+def total_network_time(spark, sf_dir):
+    kind = F.when(F.col("src") % 3 == 0, "motorway").when(F.col("src") % 3 == 1, "residential").otherwise("track")
+    roads = edges(spark, sf_dir).select(kind.alias("highway"), F.expr("(src % 50 + dst % 50 + 1) * 100D").alias("length_m"))
+    return rounded(graph.total_network_time(graph.edge_times(roads, {"motorway": 100.0, "residential": 30.0}, 50.0)), "total_time", digits=4)

@@ -70,3 +70,13 @@ def parse_hourly_air(spark, sf_dir):
     r = hours.withColumn("i", i).select("station", F.struct("h", F.date_format("h", "yyyy-MM-dd'T'HH:mm").alias("time"), F.when(F.col("i") % 3 != 0, F.round("v", 4)).alias("pm25"), F.when(F.col("i") % 2 != 0, F.round(F.col("v") * 2, 4)).alias("pm10")).alias("s"))
     packed = r.groupBy("station").agg(F.array_sort(F.collect_list("s")).alias("s")).selectExpr("station", "s.time as time", "s.pm25 as pm25", "s.pm10 as pm10").selectExpr("station", f"{_PAYLOAD} as payload")
     return tables.parse_hourly_air(packed).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.round(F.sum("pm25"), 4).alias("pm25"), F.round(F.sum("pm10"), 4).alias("pm10"))
+
+
+@query("SELECT coalesce('s' || CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey END, 'unknown') AS id, '2024-01-0' || (s_suppkey % 9 + 1) AS datetime, round(s_acctbal, 2) AS cloud_cover, CASE s_suppkey % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'two' END AS platform FROM supplier")
+def scene_metadata(spark, sf_dir):
+    """Catalogue items as JSON texts; some have no id, some only a constellation, some neither that nor a platform."""
+    key = F.col("s_suppkey")
+    properties = F.to_json(F.struct(F.concat(F.lit("2024-01-0"), key % 9 + 1).alias("datetime"), F.col("s_acctbal").alias("eo:cloud_cover"), F.when(key % 3 == 0, "one").alias("platform"), F.when(key % 3 == 1, "two").alias("constellation")))
+    head = F.when(key % 4 != 0, F.concat(F.lit('"id":"s'), key, F.lit('",'))).otherwise("")
+    items = table(spark, sf_dir, "supplier").select(F.concat(F.lit("{"), head, F.lit('"properties":'), properties, F.lit("}")).alias("item"))
+    return items.select(tables.scene_metadata(F.col("item")).alias("m")).select("m.id", "m.datetime", F.round("m.cloud_cover", 2).alias("cloud_cover"), "m.platform")

@@ -83,3 +83,16 @@ def gwr(spark, sf_dir):
     p = places(spark, sf_dir).select("place_id", "lat", "lon", F.col("lat").alias("x"), (2 * F.col("lat") + F.col("population") / 100).alias("y"))
     pairs = spatial.within_distance(p.select("place_id", "lat", "lon"), p.select(F.col("place_id").alias("other"), "lat", "lon"), 150, "place_id", "other")
     return rounded(models.gwr(p, pairs, "place_id", "other", 150), "intercept", "slope", digits=4)
+
+
+@query()
+def als_biased(spark, sf_dir):
+    ratings = _buys(spark, sf_dir).select("user", "item", F.col("grade").cast("double").alias("rating"))
+    return rounded(models.predict_biased(ratings, *models.als_biased(ratings, rank=2, iters=2)), "pred", digits=4)
+
+
+@query("WITH p AS (SELECT doc_id, unnest(['low', 'middle', 'high']) AS label, unnest([0, 1, 2]) AS i, unnest([(n_chars % 100) / 200.0::DOUBLE, 0.5, 0.5 - (n_chars % 100) / 200.0::DOUBLE]) AS probability FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, i)::INTEGER AS rank, label, round(probability, 6) AS probability FROM p")
+def recommend_classes(spark, sf_dir):
+    low = F.expr("n_chars % 100 / 200D")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array(low, F.lit(0.5), 0.5 - low).alias("p"))
+    return rounded(models.recommend_classes(d, "doc_id", "p", ["low", "middle", "high"]), "probability")

@@ -255,3 +255,19 @@ def band_features(spark, sf_dir):
 @query(f"WITH RECURSIVE {_LABELS} SELECT count(DISTINCT label) AS objects FROM labels")
 def count_objects(spark, sf_dir):
     return raster.count_objects(raster.label_components(_mask(spark, sf_dir), 100))
+
+
+@query(f"WITH {PIXELS}, c AS (SELECT DISTINCT y, x FROM pixels) SELECT y, x, x + 0.5 > 10.2 AND x + 0.5 < 40.1 AND y + 0.5 > 20.7 AND y + 0.5 < 90.3 AS event FROM c")
+def rasterize_event(spark, sf_dir):
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10.2, 20.7), (40.1, 20.7), (40.1, 90.3), (10.2, 90.3))])
+    return raster.rasterize_event(pixels(spark, sf_dir).select("y", "x").distinct(), ring)
+
+
+@query(f"WITH {_NDVI}, c AS (SELECT y, x, median(ndvi) FILTER (t BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') AS before, median(ndvi) FILTER (t BETWEEN DATE '1997-01-01' AND DATE '1997-12-31') AS after FROM px GROUP BY 1, 2) SELECT y, x, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta FROM c WHERE before IS NOT NULL AND after IS NOT NULL")
+def change_inputs(spark, sf_dir):
+    return rounded(raster.change_inputs(_ndvi(spark, sf_dir), "ndvi", ("1995-01-01", "1995-12-31"), ("1997-01-01", "1997-12-31")), "before", "after", "delta")
+
+
+@query()
+def pelt(spark, sf_dir):
+    return rounded(trend.pelt(_series(spark, sf_dir), "k", penalty=500.0), "magnitude", "score", digits=4)

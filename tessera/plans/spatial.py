@@ -215,3 +215,41 @@ def compare_weights(spark, sf_dir):
 @query()
 def local_moran_permutation(spark, sf_dir):
     return rounded(spatial.permutation_local(*_both(spark, sf_dir), permutations=19), "local_i", "p_value")
+
+
+@query(f"WITH {_NEAR} SELECT place_id, nearest_id AS node_id, round(nearest_km, 5) AS snap_km FROM n")
+def snap_to_nodes(spark, sf_dir):
+    nodes = facilities(spark, sf_dir).withColumnRenamed("facility_id", "node_id")
+    return rounded(spatial.snap_to_nodes(places(spark, sf_dir), nodes, "place_id").select("place_id", "node_id", "snap_km"), "snap_km", digits=5)
+
+
+@query(f"WITH {_NEAR} SELECT DISTINCT nearest_id AS id FROM n")
+def source_nodes(spark, sf_dir):
+    nodes = facilities(spark, sf_dir).withColumnRenamed("facility_id", "node_id")
+    return spatial.source_nodes(spatial.snap_to_nodes(places(spark, sf_dir), nodes, "place_id"))
+
+
+@query("WITH s AS (SELECT n_nationkey AS k, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation), p AS (SELECT a.k AS i, b.k AS j FROM s a JOIN s b ON a.k <> b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1) SELECT i, j, round(1.0::DOUBLE / count(*) OVER (PARTITION BY i), 6) AS w FROM p")
+def queen_contiguity(spark, sf_dir):
+    """Nations as squares of a board."""
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey as k", "cast(n_nationkey % 5 as double) as x", "cast(n_nationkey div 5 as double) as y")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    areas = n.select("k", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    return rounded(spatial.queen_contiguity(areas, "k"), "w")
+
+
+@query()
+def permutation_gi_star(spark, sf_dir):
+    return rounded(spatial.permutation_gi_star(*_both(spark, sf_dir), permutations=49), "g_star", "p_value", digits=5)
+
+
+@query(f"WITH {PLACES} SELECT place_id, round(lon - 0.5, 6) AS min_lon, round(lat - 0.25, 6) AS min_lat, round(lon + 1, 6) AS max_lon, round(lat + 0.5, 6) AS max_lat FROM places")
+def bbox_of_geojson(spark, sf_dir):
+    """A triangle round each place, as a bare geometry, a feature or a collection of features."""
+    point = lambda dx, dy: F.concat(F.lit("["), (F.col("lon") + dx).cast("string"), F.lit(", "), (F.col("lat") + dy).cast("string"), F.lit("]"))
+    ring = F.concat_ws(",", point(-0.5, 0), point(1, -0.25), point(0, 0.5), point(-0.5, 0))
+    shape = F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"at":[99,99]},"geometry":'), shape, F.lit("}"))
+    many = F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}"))
+    doc = F.when(F.col("place_id") % 3 == 0, shape).when(F.col("place_id") % 3 == 1, feature).otherwise(many)
+    return rounded(places(spark, sf_dir).select("place_id", geo.bbox_of_geojson(doc).alias("b")).select("place_id", "b.*"), "min_lon", "min_lat", "max_lon", "max_lat")

@@ -156,6 +156,15 @@ def least_cloudy_scene(items: DataFrame, date: str, window_days: int, max_cloud:
     return near.orderBy("cloud_cover", "datetime").limit(1)
 
 
+def scene_metadata(item: Column) -> Column:
+    """id ('unknown' without one), datetime, cloud_cover and platform (else constellation) of a catalogue item's JSON text."""
+    at = lambda path: F.get_json_object(item, path)
+    return F.struct(
+        F.coalesce(at("$.id"), F.lit("unknown")).alias("id"), at("$.properties.datetime").alias("datetime"), at("$.properties['eo:cloud_cover']").cast("double").alias("cloud_cover"),
+        F.coalesce(F.nullif(at("$.properties.platform"), F.lit("")), at("$.properties.constellation")).alias("platform"),
+    )
+
+
 def kafka_events(spark: SparkSession, topic: str, servers: str, schema: T.StructType = EVENTS, stream: bool = False) -> DataFrame:
     """JSON messages of a topic; needs Spark's Kafka package on the class path."""
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")

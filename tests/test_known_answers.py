@@ -397,3 +397,44 @@ def test_running_totals_by_range(spark):
         want[k] = (pytest.approx(total), n)
     assert got == want
     assert ordered.numbered(df.where("k < 0"), ["k"], "n").collect() == []
+
+
+def test_pelt_is_the_best_split(spark):
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.normal(m, 0.3, n) for m, n in ((0, 23), (3, 17), (-2, 30))])
+    got = sorted(r["break_index"] + 1 for r in trend.pelt(spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(y)], "k string, t int, y double"), "k", penalty=3.0, jump=1).collect())
+    cost = lambda a, b: float(((y[a:b] - y[a:b].mean()) ** 2).sum())
+    best = {0: (-3.0, [])}
+    for end in range(2, len(y) + 1):
+        best[end] = min((best[s][0] + cost(s, end) + 3.0, [*best[s][1], s] if s else []) for s in best if end - s >= 2)
+    assert got == best[len(y)][1] and len(got) == 2
+
+
+def test_biased_factors_beat_biases(spark):
+    rng = np.random.default_rng(6)
+    u, v, bu, bv = rng.normal(size=(40, 2)), rng.normal(size=(30, 2)), rng.normal(size=40), rng.normal(size=30)
+    rows = [(i, j, float(3 + bu[i] + bv[j] + u[i] @ v[j])) for i in range(40) for j in range(30) if (i * 7 + j * 3) % 5]
+    ratings = spark.createDataFrame(rows, "user int, item int, rating double")
+    rmse = lambda df: math.sqrt(df.agg(F.avg((F.col("rating") - F.col("pred")) ** 2)).first()[0])
+    fitted = rmse(models.predict_biased(ratings, *models.als_biased(ratings, rank=2, reg=0.05, iters=6)))
+    plain = rmse(models.biases(ratings, 0.05).withColumn("pred", F.col("rating") - F.col("residual")))
+    assert fitted < 0.5 * plain
+    mu, users, items = models.als_biased(ratings, rank=2, iters=1)
+    assert one(models.predict_biased(spark.createDataFrame([(-1, -1)], "user int, item int"), mu, users, items))["pred"] == pytest.approx(mu)
+
+
+def test_hot_and_cold_spots(spark):
+    cells = spark.createDataFrame([(y * 10 + x, y, x, 9.0 if y < 3 and x < 3 else -9.0 if y > 6 and x > 6 else float((y * 7 + x * 3) % 3)) for y in range(10) for x in range(10)], "id long, y long, x long, v double")
+    w = spatial.rook_weights(cells.select("id", F.col("y").alias("row"), F.col("x").alias("col")), queen=True)
+    values = cells.select("id", F.col("v").alias("x"))
+    got = {r["id"]: r for r in spatial.permutation_gi_star(values, w, permutations=99).collect()}
+    assert got[11]["label"] == "hot" and got[88]["label"] == "cold" and got[55]["label"] == "ns"
+    assert all(0.01 <= r["p_value"] <= 1 for r in got.values())
+    with pytest.raises(ValueError, match="no neighbour"):
+        spatial.queen_contiguity(spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)])], "k int, ring array<struct<x: double, y: double>>"), "k")
+
+
+def test_bbox_of_no_coordinates(spark):
+    assert value(spark, geo.bbox_of_geojson(F.lit('{"type":"FeatureCollection","features":[]}'))) is None
+    got = value(spark, geo.bbox_of_geojson(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1.5e1,-2]},{"type":"LineString","coordinates":[[3,4,9],[-5,6]]}]}')))
+    assert tuple(got) == (-5.0, -2.0, 15.0, 6.0)
