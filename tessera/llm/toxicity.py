@@ -76,23 +76,21 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def _averages(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, weight): the share of each n-gram's embedding in each text's vector."""
+def _averages(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the n-grams and the share of each one's embedding in the text's vector."""
     vocabulary: dict[str, int] = {}
     bags = []
     for text in texts:
         words, uses = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(text.lower())], return_counts=True)
-        bags.append((words.astype(np.int64), uses / max(1, uses.sum())))
+        bags.append((words.astype(np.int32), (uses / max(1, uses.sum())).astype(np.float32)))
     ids, sizes = char_ngrams(list(vocabulary), LOW, HIGH, BITS)
+    del vocabulary
     ends = np.cumsum(sizes)
-    owner, gram, weight = [], [], []
-    for i, (words, uses) in enumerate(bags):
+    for words, uses in bags:
         n = sizes[words]
         places = np.repeat(ends[words] - np.cumsum(n), n) + np.arange(int(n.sum()))
         own, back = np.unique(ids[places], return_inverse=True)
-        owner.append(np.full(len(own), i, np.int32)), gram.append(own.astype(np.int32))
-        weight.append(np.bincount(back, weights=np.repeat(uses / n, n), minlength=len(own)))
-    return np.concatenate(owner), np.concatenate(gram), np.concatenate(weight)
+        yield own.astype(np.int32), np.bincount(back, weights=np.repeat(uses / n, n), minlength=len(own)).astype(np.float32)
 
 
 def train_subwords(rows: list[tuple[str, int]], group: float = GROUP, ridge: float = RIDGE, steps: int = STEPS, toxic_share: float = TOXIC_SHARE, seed: int = 5) -> SubwordModel:
@@ -103,17 +101,25 @@ def train_subwords(rows: list[tuple[str, int]], group: float = GROUP, ridge: flo
         bias = 0.0 if not labels else 4.0 if labels == {1} else -4.0
         return SubwordModel(np.zeros(0, np.int64), np.zeros((0, DIM)), softmax, np.array([0.0, bias]), f"constant-{bias}", False)
     n, truth = len(rows), np.array([y for _, y in rows], float)
-    owner, gram, weight = _averages([t for t, _ in rows])
     share = np.where(truth == 1, toxic_share / truth.sum(), (1 - toxic_share) / (n - truth.sum()))
-    often = np.bincount(gram, minlength=1 << BITS) >= min(LEAST_TEXTS, (n + 9) // 10)
-    spread = np.sqrt(np.bincount(gram, weights=weight**2, minlength=1 << BITS) / n)
-    weight = weight / spread[gram]
-    first = np.abs(np.bincount(gram, weights=weight * ((toxic_share - truth) * share)[owner], minlength=1 << BITS))
-    kept = np.flatnonzero(often & (first > SCREEN * group))
+    bags = []  # eight bytes an n-gram of a text; what the sums over all texts leave out is let go below
+    often, square, first = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for own, weight in _averages([t for t, _ in rows]):
+        i = len(bags)
+        often[own] += 1
+        square[own] += weight.astype(float) ** 2
+        first[own] += weight * ((toxic_share - truth[i]) * share[i])
+        bags.append((own, weight))
+    spread = np.sqrt(square / n)
+    kept = np.flatnonzero((often >= min(LEAST_TEXTS, (n + 9) // 10)) & (np.abs(first) > SCREEN * group * spread))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
-    live = number[gram] >= 0
-    owner, gram, weight = owner[live], number[gram[live]], weight[live]
+    for i, (own, weight) in enumerate(bags):
+        live = number[own] >= 0
+        bags[i] = (number[own[live]], weight[live] / spread[own[live]])
+    owner = np.repeat(np.arange(n), [len(own) for own, _ in bags])
+    gram, weight = (np.concatenate(part) for part in zip(*bags, strict=True))
+    del bags
 
     def averaged(by_gram: np.ndarray) -> np.ndarray:
         return np.bincount(owner, weights=weight * by_gram[gram], minlength=n)
