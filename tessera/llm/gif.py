@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 _TABLE = 4096
 
 
+@cache
 def _widths(root: int) -> np.ndarray:
     """Bits of the j-th code after a clear code, from 0 on, for a root size in bits."""
     reached = (1 << root) + 1 + np.arange(_TABLE + 2)
@@ -39,33 +41,41 @@ def _widths(root: int) -> np.ndarray:
     return np.minimum(12, np.floor(np.log2(np.maximum(reached, 1))).astype(np.int64) + 1)
 
 
+@cache
+def _schedule(root: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, first bit) of the codes after a clear code, further than a full table goes."""
+    widths = np.concatenate([_widths(root), np.full(_TABLE, 12)])  # its last value goes on if no clear code comes
+    return widths, np.cumsum(widths) - widths
+
+
+def _trie(root: int) -> list[dict[int, int | dict]]:
+    """One node per sample; a node has its children by sample, and its own code under -1."""
+    return [{-1: i} for i in range(1 << root)]
+
+
 def lzw_encode(data: bytes, root: int = 8) -> bytes:
     """GIF LZW stream of samples of ``root`` bits (2 to 8), without sub-blocks."""
     clear, end = 1 << root, (1 << root) + 1
     segments: list[list[int]] = [[]]
     codes = segments[0]
-    table: dict[int, int] = {}
-    known, nxt = table.get, end + 1
     if data:
-        prefix = data[0]
+        nodes, nxt = _trie(root), end + 1
+        node = nodes[data[0]]
         for b in data[1:]:
-            key = prefix << 8 | b
-            code = known(key)
-            if code is not None:
-                prefix = code
+            if b in node:
+                node = node[b]
                 continue
-            codes.append(prefix)
-            prefix = b
+            codes.append(node[-1])
             if nxt < _TABLE:
-                table[key] = nxt
+                node[b] = {-1: nxt}
                 nxt += 1
             else:
                 codes.append(clear)
                 codes = []
                 segments.append(codes)
-                table.clear()
-                nxt = end + 1
-        codes.append(prefix)
+                nodes, nxt = _trie(root), end + 1
+            node = nodes[b]
+        codes.append(node[-1])
     codes.append(end)
     widths = _widths(root)
     values = np.concatenate([np.array([clear]), *(np.array(s, np.int64) for s in segments)])
@@ -86,10 +96,7 @@ def lzw_decode(stream: bytes, root: int, size: int) -> bytes:
     clear, end = 1 << root, (1 << root) + 1
     raw = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
     windows = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-    widths = _widths(root)
-    # a full table may go on without a clear code, so the schedule of widths repeats its last value
-    widths = np.concatenate([widths, np.full(_TABLE, 12)])
-    offsets = np.cumsum(widths) - widths
+    widths, offsets = _schedule(root)
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out, got, at, total_bits = [], 0, 0, 8 * len(stream)
     table, previous, place = roots.copy(), b"", 0
@@ -99,27 +106,30 @@ def lzw_decode(stream: bytes, root: int, size: int) -> bytes:
             raise ValueError("the LZW stream ends early")
         where = at + offsets[place : place + n] - offsets[place]
         codes = windows[where >> 3] >> (where & 7).astype(np.uint32) & ((1 << widths[place : place + n]) - 1).astype(np.uint32)
-        marks = np.flatnonzero((codes == clear) | (codes == end))
+        marks, parts = np.flatnonzero((codes == clear) | (codes == end)), []
         stop = int(marks[0]) if len(marks) else n
-        for c in codes[:stop].tolist():
-            if not previous:
-                if c >= clear:
-                    raise ValueError("the LZW stream starts with an unknown code")
-                previous = table[c]
-                out.append(previous)
-                got += 1
-                continue
-            if c < len(table):
+        todo = codes[:stop].tolist()
+        if todo and not previous:
+            if todo[0] >= clear:
+                raise ValueError("the LZW stream starts with an unknown code")
+            previous = table[todo.pop(0)]
+            parts.append(previous)
+        # a code a table entry, until the table is full
+        growing = _TABLE - len(table)
+        for c in todo[:growing]:
+            try:
                 entry = table[c]
-            elif c == len(table):
+            except IndexError:
+                if c != len(table):
+                    raise ValueError("the LZW stream has an unknown code") from None
                 entry = previous + previous[:1]
-            else:
-                raise ValueError("the LZW stream has an unknown code")
-            out.append(entry)
-            got += len(entry)
-            if len(table) < _TABLE:
-                table.append(previous + entry[:1])
+            parts.append(entry)
+            table.append(previous + entry[:1])
             previous = entry
+        parts += [table[c] for c in todo[growing:]]
+        previous = parts[-1] if parts else previous
+        out += parts
+        got += sum(map(len, parts))
         if stop < n:
             at += int(offsets[place + stop] - offsets[place] + widths[place + stop])
             if codes[stop] == end:
