@@ -91,56 +91,67 @@ def lzw_encode(data: bytes, root: int = 8) -> bytes:
     return b"".join(out) + np.packbits(carry, bitorder="little").tobytes()
 
 
+def _expand(codes: np.ndarray, root: int, most: int) -> np.ndarray:
+    """Samples of the codes between two clear codes; about ``most`` of them are made, whole codes only.
+
+    The j-th code after a clear code adds one table entry: the samples of code j and the first one of code j + 1. A
+    code thus is a root or points at an earlier code, whose samples it has with one more.
+    """
+    first_entry = (1 << root) + 2
+    is_root = codes < first_entry
+    parent = np.where(is_root, np.arange(len(codes)), codes - first_entry)
+    if is_root.size and not is_root[0]:
+        raise ValueError("the LZW stream starts with an unknown code")
+    if (parent > np.arange(len(codes)) - ~is_root).any():
+        raise ValueError("the LZW stream has an unknown code")
+    top, length = parent, np.where(is_root, 1, 2)
+    while not is_root[top].all():
+        length, top = length + length[top] - 1, top[top]
+    ends = np.cumsum(length)
+    n = int(np.searchsorted(ends, most)) + 1
+    codes, is_root, parent, top, ends = codes[:n], is_root[:n], parent[:n], top[:n], ends[:n]
+    if not len(codes):
+        return np.zeros(0, np.uint8)
+    first = codes[top].astype(np.uint8)
+    last = np.where(is_root, first, first[np.minimum(parent + 1, len(codes) - 1)])
+    out = np.empty(int(ends[-1]), np.uint8)
+    at, source = ends - 1, np.arange(len(codes))
+    while len(at):  # one sample of every code at a time, from its last one on
+        out[at] = last[source]
+        more = np.flatnonzero(~is_root[source])
+        at, source = at[more] - 1, parent[source[more]]
+    return out
+
+
 def lzw_decode(stream: bytes, root: int, size: int) -> bytes:
     """Samples of a GIF LZW stream; ``size`` of them, or ValueError."""
     clear, end = 1 << root, (1 << root) + 1
     raw = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
     windows = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
     widths, offsets = _schedule(root)
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out, got, at, total_bits = [], 0, 0, 8 * len(stream)
-    table, previous, place = roots.copy(), b"", 0
+    parts, place = [], 0
     while got < size:
         n = int(np.searchsorted(offsets[place:] + widths[place:] - offsets[place], total_bits - at, side="right"))
-        if not n:
-            raise ValueError("the LZW stream ends early")
         where = at + offsets[place : place + n] - offsets[place]
-        codes = windows[where >> 3] >> (where & 7).astype(np.uint32) & ((1 << widths[place : place + n]) - 1).astype(np.uint32)
-        marks, parts = np.flatnonzero((codes == clear) | (codes == end)), []
+        codes = (windows[where >> 3] >> (where & 7).astype(np.uint32)).astype(np.int64) & (1 << widths[place : place + n]) - 1
+        marks = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(marks[0]) if len(marks) else n
-        todo = codes[:stop].tolist()
-        if todo and not previous:
-            if todo[0] >= clear:
-                raise ValueError("the LZW stream starts with an unknown code")
-            previous = table[todo.pop(0)]
-            parts.append(previous)
-        # a code a table entry, until the table is full
-        growing = _TABLE - len(table)
-        for c in todo[:growing]:
-            try:
-                entry = table[c]
-            except IndexError:
-                if c != len(table):
-                    raise ValueError("the LZW stream has an unknown code") from None
-                entry = previous + previous[:1]
-            parts.append(entry)
-            table.append(previous + entry[:1])
-            previous = entry
-        parts += [table[c] for c in todo[growing:]]
-        previous = parts[-1] if parts else previous
-        out += parts
-        got += sum(map(len, parts))
-        if stop < n:
-            at += int(offsets[place + stop] - offsets[place] + widths[place + stop])
-            if codes[stop] == end:
-                break
-            table, previous, place = roots.copy(), b"", 0
-        else:
+        parts.append(codes[:stop])
+        if n and stop == n:  # codes go on with a full table
             at += int(offsets[place + n - 1] - offsets[place] + widths[place + n - 1])
             place = min(place + n, _TABLE)
+            continue
+        made = _expand(np.concatenate(parts), root, size - got)
+        out.append(made)
+        got += len(made)
+        if not n or codes[stop] == end:
+            break
+        at += int(offsets[place + stop] - offsets[place] + widths[place + stop])
+        parts, place = [], 0
     if got < size:
         raise ValueError("the LZW stream has too few samples")
-    return b"".join(out)[:size]
+    return b"".join(o.tobytes() for o in out)[:size]
 
 
 @dataclass
@@ -288,8 +299,10 @@ def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[tuple[Fram
 
 def histogram(canvas: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     """Counts of the visible pixels by red, green and blue level, ``levels`` ** 3 of them."""
-    seen = canvas[canvas[..., 3] > 0][:, :3].astype(np.int64) * levels >> 8
-    return np.bincount((seen[:, 0] * levels + seen[:, 1]) * levels + seen[:, 2], minlength=levels**3)
+    step = np.arange(256) * levels >> 8
+    red, green, blue = (step * levels**k for k in (2, 1, 0))
+    bins = red[canvas[..., 0]] + green[canvas[..., 1]] + blue[canvas[..., 2]]
+    return np.bincount(bins[canvas[..., 3] > 0], minlength=levels**3)
 
 
 def text_to_gif(text: str) -> tuple[bytes, int]:
