@@ -166,6 +166,43 @@ def test_lzw_round_trip(root, size):
         assert gif.lzw_decode(gif.lzw_encode(data, root), root, size) == data
 
 
+def _plain_lzw(codes, root):
+    """Samples of a list of codes by the textbook's table, None for an unknown code."""
+    clear, out, table, before = 1 << root, b"", [], b""
+    for c in codes:
+        if c == clear:
+            table, before = [bytes([i]) for i in range(clear)] + [b"", b""], b""
+        elif c == clear + 1:
+            break
+        elif c > len(table) or (c == len(table) and not before) or (not before and c > clear):
+            return None
+        else:
+            entry = table[c] if c < len(table) else before + before[:1]
+            if before and len(table) < 4096:
+                table.append(before + entry[:1])
+            out, before = out + entry, entry
+    return out
+
+
+def test_lzw_of_any_codes_and_of_full_tables():
+    rng, root, clear = random.Random(5), 2, 4
+    widths = gif._schedule(root)[0].tolist() + [12] * 1_000
+    for n in [3, 20, 60] * 30 + [9000]:  # the last one goes on with a full table for long
+        codes = [clear]
+        for j in range(n):
+            codes.append(rng.choice([rng.randrange(4), rng.randrange(4), min(5 + j, 4095)]) if j else 1)
+        codes.append(clear + 1)
+        bits = "".join(f"{c:0{w}b}"[::-1] for c, w in zip(codes, [root + 1, *widths], strict=False))
+        bits += "0" * (-len(bits) % 8)
+        stream = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+        expected = _plain_lzw(codes, root)
+        if expected is None:
+            with pytest.raises(ValueError):
+                gif.lzw_decode(stream, root, 1 << 20)
+        else:
+            assert gif.lzw_decode(stream, root, len(expected)) == expected
+
+
 def test_lzw_known_stream_and_errors():
     # clear, 1, 6 (a code that names itself), 6, 2, end, in three bits: the well-known first bytes of a GIF
     assert gif.lzw_decode(bytes([0x8C, 0x2D, 0x99, 0x87, 0x2A, 0x1C, 0xDC, 0x33, 0xA0, 0x02, 0x75, 0xEC, 0x95, 0xFA, 0xA8, 0xDE, 0x60, 0x8C, 0x04, 0x91, 0x4C, 0x01]), 2, 100)[:10] == bytes([1, 1, 1, 1, 1, 2, 2, 2, 2, 2])
