@@ -146,9 +146,7 @@ def facility_load(spark, sf_dir):
 
 @query(f"WITH {_NEAR}, c AS (SELECT place_id, facility_id FROM d WHERE km <= 150), r AS (SELECT facility_id, coalesce(any_value(capacity) / sum(population), 0) AS ratio FROM facilities LEFT JOIN c USING (facility_id) LEFT JOIN places USING (place_id) GROUP BY 1), a AS (SELECT place_id, sum(ratio) AS access FROM c JOIN r USING (facility_id) GROUP BY 1) SELECT place_id, round(coalesce(access, 0), 8) AS access FROM places LEFT JOIN a USING (place_id)")
 def two_step_catchment(spark, sf_dir):
-    p, f = places(spark, sf_dir), facilities(spark, sf_dir)
-    pairs = spatial.within_distance(p, f, 150, "place_id", "facility_id")
-    return rounded(spatial.two_step_catchment(pairs, p, f, "place_id", "facility_id"), "access", digits=8)
+    return rounded(spatial.catchment_access(places(spark, sf_dir), facilities(spark, sf_dir), 150, "place_id", "facility_id"), "access", digits=8)
 
 
 @query(f"WITH {_NEAR}, o AS (SELECT round(nearest_km, 6) AS x, sum(population) AS w FROM n GROUP BY 1), cum AS (SELECT *, sum(w) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS cw FROM o) SELECT round(sum(w * x * (2 * cw - w)) / (sum(w) * sum(w * x)) - 1, 6) AS gini FROM cum")

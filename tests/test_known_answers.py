@@ -438,3 +438,27 @@ def test_bbox_of_no_coordinates(spark):
     assert value(spark, geo.bbox_of_geojson(F.lit('{"type":"FeatureCollection","features":[]}'))) is None
     got = value(spark, geo.bbox_of_geojson(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1.5e1,-2]},{"type":"LineString","coordinates":[[3,4,9],[-5,6]]}]}')))
     assert tuple(got) == (-5.0, -2.0, 15.0, 6.0)
+
+
+def spots_seen(monkeypatch, module):
+    """The numbers of points that ``module`` takes pairs of."""
+    seen, pairs = [], spatial.within_distance
+
+    def counted(a, b, *rest):
+        seen.append((a.count(), b.count()))
+        return pairs(a, b, *rest)
+
+    monkeypatch.setattr(module, "within_distance", counted)
+    return seen
+
+
+def test_catchments_take_pairs_of_spots(spark, monkeypatch):
+    seen = spots_seen(monkeypatch, spatial)
+    places = spark.createDataFrame([(i, float(i % 3), 0.0, 2.0) for i in range(300)] + [(300, None, 0.0, 5.0)], "p long, lat double, lon double, population double")
+    sites = spark.createDataFrame([(i, float(i % 2), 0.0, 4.0 if i < 20 else None) for i in range(22)], "f long, lat double, lon double, capacity double")
+    got = {r["p"]: r["access"] for r in spatial.catchment_access(places, sites, 150, "p", "f").collect()}
+    assert seen == [(4, 2)]  # the spot without a latitude has no pairs
+    north, south = 40 / 600, 40 / 400  # capacity at 1 over the people at 0, 1 and 2; at 0 over those at 0 and 1
+    assert got == pytest.approx({i: (north + south, north + south, north)[i % 3] for i in range(300)} | {300: 0.0})
+    pairs = spatial.within_distance(places, sites, 150, "p", "f")
+    assert got == pytest.approx({r["p"]: r["access"] for r in spatial.two_step_catchment(pairs, places, sites, "p", "f").collect()})
