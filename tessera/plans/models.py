@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalogue import query
-from tessera.operators import models, spatial, text
+from tessera.operators import models, text
 from tessera.sources.tables import table
 
 from .inputs import places, rounded
@@ -81,8 +81,7 @@ def bootstrap_ci(spark, sf_dir):
 @query()
 def gwr(spark, sf_dir):
     p = places(spark, sf_dir).select("place_id", "lat", "lon", F.col("lat").alias("x"), (2 * F.col("lat") + F.col("population") / 100).alias("y"))
-    pairs = spatial.within_distance(p.select("place_id", "lat", "lon"), p.select(F.col("place_id").alias("other"), "lat", "lon"), 150, "place_id", "other")
-    return rounded(models.gwr(p, pairs, "place_id", "other", 150), "intercept", "slope", digits=4)
+    return rounded(models.gwr(p, "place_id", 150), "intercept", "slope", digits=4)
 
 
 @query()

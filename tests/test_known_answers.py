@@ -462,3 +462,20 @@ def test_catchments_take_pairs_of_spots(spark, monkeypatch):
     assert got == pytest.approx({i: (north + south, north + south, north)[i % 3] for i in range(300)} | {300: 0.0})
     pairs = spatial.within_distance(places, sites, 150, "p", "f")
     assert got == pytest.approx({r["p"]: r["access"] for r in spatial.two_step_catchment(pairs, places, sites, "p", "f").collect()})
+
+
+def test_regressions_take_pairs_of_spots(spark, monkeypatch):
+    seen = spots_seen(monkeypatch, models)
+    rows = [(i, float(i % 6) / 2, float(i % 4), float(i % 7), float(i % 7) * (1 + i % 6) + i % 5) for i in range(360)]
+    points = spark.createDataFrame([*rows, (360, 0.0, 0.0, 1.0, None), (361, None, 0.0, 1.0, 1.0)], "p long, lat double, lon double, x double, y double")
+    got = {r["p"]: (r["intercept"], r["slope"]) for r in models.gwr(points, "p", 200.0).collect()}
+    assert seen == [(13, 13)]  # 12, and one without a latitude
+    at = np.radians(np.array([r[1:3] for r in rows]))
+    x, y = np.array([r[3:] for r in rows]).T
+    for i in (0, 1, 5, 16):
+        h = np.sin((at[:, 0] - at[i, 0]) / 2) ** 2 + np.cos(at[:, 0]) * np.cos(at[i, 0]) * np.sin((at[:, 1] - at[i, 1]) / 2) ** 2
+        km = 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+        w = np.where(km < 200, (1 - (km / 200) ** 2) ** 2, 0)
+        a = np.column_stack([np.ones_like(x), x])
+        assert got[i] == pytest.approx(np.linalg.solve((a * w[:, None]).T @ a, (a * w[:, None]).T @ y))
+    assert got[360] == got[0] and got.keys() == set(range(361))
