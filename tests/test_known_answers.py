@@ -479,3 +479,26 @@ def test_regressions_take_pairs_of_spots(spark, monkeypatch):
         a = np.column_stack([np.ones_like(x), x])
         assert got[i] == pytest.approx(np.linalg.solve((a * w[:, None]).T @ a, (a * w[:, None]).T @ y))
     assert got[360] == got[0] and got.keys() == set(range(361))
+
+
+def test_topics_keep_terms_out_of_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    dense = rng.poisson(0.4, (40, 300)) + (np.arange(300) % 40 == np.arange(40)[:, None])
+    counts = spark.createDataFrame([(d, f"t{t}", int(n)) for d, row in enumerate(dense) for t, n in enumerate(row) if n], "d int, term string, n long")
+    seen, collect = [], type(counts).collect
+    monkeypatch.setattr(type(counts), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    out = models.nmf_topics(counts, "d", 3, terms=None, iters=2)
+    monkeypatch.undo()
+    assert sum(map(len, seen)) <= 2 * 2  # a block of terms and the sums over documents, twice
+    names = sorted((f"t{t}" for t in range(300)), key=lambda t: (-dense[:, int(t[1:])].sum(), t))
+    v, h = dense[:, [int(t[1:]) for t in names]], np.random.default_rng(0).uniform(0.1, 1.0, (3, 300))
+    for _ in range(2):
+        w = np.ones((40, 3))
+        for _ in range(5):
+            w = w * (v @ h.T) / (w @ (h @ h.T))
+        h = h * (w.T @ v) / (w.T @ w @ h)
+    h /= h.sum(axis=1, keepdims=True)
+    got = {(r["topic"], r["term"]): r["weight"] for r in out.collect()}
+    assert got == pytest.approx({(k, t): h[k, i] for k in range(3) for i, t in enumerate(names)})
+    some = models.nmf_topics(counts, "d", 3, terms=7, iters=1)
+    assert {r["term"] for r in some.collect()} == set(names[:7])
