@@ -6,11 +6,19 @@ merge repeats; where weights differ the larger counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered
 from tessera.runtime import checkpoint
 
+#: Sources that go side by side, and edges summed at once, in ``betweenness``.
+_SIDE_BY_SIDE, _EDGES_AT_ONCE = 32, 1 << 15
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge once, with ``weight``."""
@@ -197,14 +205,95 @@ def nearest_source(edges: DataFrame, sources: DataFrame, cost: str = "cost") ->
     return best.select("id", "b.cost", "b.source")
 
 
-def betweenness(edges: DataFrame, normalised: bool = False, sources: DataFrame | None = None) -> DataFrame:
-    """(id, betweenness) of an undirected, unweighted graph: breadth-first tables (source, node) forward, dependencies backward.
-
-    Rows are sources times nodes; for large graphs give a sample of ``sources(id)``.
+def _sums_over(near: np.ndarray, start: np.ndarray, owner: np.ndarray, rows: np.ndarray, x: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of ``to`` that have neighbours among ``rows``, and the sums of these neighbours' ``x``."""
+    degree = start[rows + 1] - start[rows]
+    place = np.zeros(len(to), np.int32)
+    place[rows] = np.arange(len(rows))
+    if degree.sum() * 8 < len(near):  # along the rows' own edges
+        ends = np.cumsum(degree)
+        v, u = near[np.repeat(start[rows] - ends + degree, degree) + np.arange(degree.sum())], np.repeat(np.arange(len(rows)), degree)
+        v, u = v[to[v]], u[to[v]]
+        order = np.argsort(v, kind="stable")
+        v, u = v[order], u[order]
+    else:
+        inside = np.zeros(len(to), bool)
+        inside[rows] = True
+        some = inside[near] & to[owner]
+        v, u = owner[some], place[near[some]]
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][: len(v)])
+    nodes, out, of = v[first], np.zeros((len(first), x.shape[1])), np.cumsum(np.r_[False, v[1:] != v[:-1]][: len(v)])
+    for a in range(0, len(v), _EDGES_AT_ONCE):
+        part = of[a : a + _EDGES_AT_ONCE]
+        s = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out[part[s]] += np.add.reduceat(x[u[a : a + _EDGES_AT_ONCE]], s, axis=0)
+    return nodes, out
+
+
+def _dependencies(near: np.ndarray, start: np.ndarray, owner: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Brandes' dependencies of every node, summed over different ``sources``, which go breadth first side by side.
+
+    Neighbours of node v are ``near[start[v]:start[v + 1]]``.
     """
-    e = checkpoint(undirected(edges).select("src", "dst"))
-    every = vertices(edges)
-    level = (sources or every).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"))
+    n, side = len(start) - 1, np.arange(len(sources))
+    far, sigma, delta = np.full((n, len(sources)), -1, np.int32), np.zeros((n, len(sources))), np.zeros((n, len(sources)))
+    far[sources, side], sigma[sources, side] = 0, 1.0
+    left, levels = (far < 0).any(axis=1), [np.sort(sources)]
+    while left.any():
+        rows = levels[-1]
+        nodes, got = _sums_over(near, start, owner, rows, np.where(far[rows] == len(levels) - 1, sigma[rows], 0.0), left)
+        new = (far[nodes] < 0) & (got > 0)
+        some = new.any(axis=1)
+        if not some.any():
+            break
+        nodes, got, new = nodes[some], got[some], new[some]
+        far[nodes], sigma[nodes] = np.where(new, len(levels), far[nodes]), np.where(new, got, sigma[nodes])
+        left[nodes] = (far[nodes] < 0).any(axis=1)
+        levels.append(nodes)
+    to = np.zeros(n, bool)
+    for d in range(len(levels) - 1, 1, -1):
+        rows, upper = levels[d], levels[d - 1]
+        to[upper] = True
+        here = far[rows] == d
+        nodes, got = _sums_over(near, start, owner, rows, np.where(here, (1 + delta[rows]) / np.where(here, sigma[rows], 1.0), 0.0), to)
+        delta[nodes] += np.where(far[nodes] == d - 1, sigma[nodes] * got, 0.0)
+        to[upper] = False
+    return delta.sum(axis=1)
+
+
+def _by_source(edges: DataFrame, sources: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(v, d): dependencies from graphs that every worker holds, as 8 bytes an edge and direction; sources are dealt to tasks."""
+    spark = edges.sparkSession
+    number = checkpoint(numbered(ids, ["id"], "r"))
+    end = lambda c: number.select(F.col("id").alias(c), F.col("r").cast("int").alias(f"_{c}"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b[c].to_numpy().tobytes()]) for c in ("a", "b")], ["a", "b"])
+
+    rows = edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("_src").alias("a"), F.col("_dst").alias("b")).mapInArrow(packed, "a binary, b binary").collect()
+    a, b = (np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r[c], np.int32) for r in rows]]) for c in ("a", "b"))
+    order = np.lexsort((b, a))
+    shared = spark.sparkContext.broadcast((b[order], np.r_[0, np.cumsum(np.bincount(a, minlength=n))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, start = shared.value
+        owner, total = np.repeat(np.arange(n, dtype=np.int32), np.diff(start)), np.zeros(n)
+        for batch in batches:
+            r = batch["r"].to_numpy()
+            for k in range(0, len(r), _SIDE_BY_SIDE):
+                total += _dependencies(near, start, owner, r[k : k + _SIDE_BY_SIDE])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["r", "d"])
+
+    dealt = number.join(sources.select("id").distinct(), "id", "left_semi").select("r").repartition(4 * spark.sparkContext.defaultParallelism)
+    total = dealt.mapInArrow(run, "r long, d double").groupBy("r").agg(F.sum("d").alias("d"))
+    return number.join(total, "r").select(F.col("id").alias("v"), "d")
+
+
+def _by_tables(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(v, d): dependencies from breadth-first tables (source, node) forward and back, whose rows are sources times nodes."""
+    level = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"))
     levels, seen = [checkpoint(level)], None
     while not levels[-1].isEmpty():
         seen = checkpoint(levels[-1].select("s", "v") if seen is None else seen.union(levels[-1].select("s", "v")))
@@ -221,7 +310,19 @@ def betweenness(edges: DataFrame, normalised: bool = False, sources: DataFrame |
         delta = checkpoint(delta)
         part = delta.where("s <> v").groupBy("v").agg(F.sum("delta").alias("d"))
         total = checkpoint(part if total is None else total.unionByName(part).groupBy("v").agg(F.sum("d").alias("d")))
-    n = every.count()
+    return total
+
+
+def betweenness(edges: DataFrame, normalised: bool = False, sources: DataFrame | None = None, held: int = 1 << 22) -> DataFrame:
+    """(id, betweenness) of an undirected, unweighted graph, from all nodes or from ``sources(id)``.
+
+    Time goes with sources times edges. A graph of up to ``held`` edges, counted in both directions, is sent to the
+    workers; a larger one stays in tables.
+    """
+    e = checkpoint(undirected(edges).select("src", "dst"))
+    every = checkpoint(vertices(edges))
+    n, begin = every.count(), sources or every
+    total = _by_source(e, begin, every, n) if e.count() <= held else _by_tables(e, begin)
     scale = 0.5 * (2 / ((n - 1) * (n - 2)) if normalised and n > 2 else 1.0)
     return every.join(total, F.col("id") == F.col("v"), "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 

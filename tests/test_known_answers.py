@@ -562,3 +562,19 @@ def test_moran_by_permutation_against_matrices(cells):
     assert got["p_value"] == pytest.approx(((s[1:] >= s[0]).sum() + 1) / 40)
     flat = one(spatial.permutation_moran(values.withColumn("x", F.lit(1.5)), w, permutations=9))
     assert tuple(flat) == (None, None)
+
+
+def test_betweenness_side_by_side_and_by_tables(spark, monkeypatch):
+    """Two parts, a chain and a loop; the tables are used only where the graph is too large to be sent."""
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (110, 2))] + [(i, i + 1) for i in range(100, 130)] + [(200, 200)]
+    edges, some = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i,) for i in (1, 5, 105, 999)], "id long")
+    tables = {r["id"]: r["betweenness"] for r in graph.betweenness(edges, held=0).collect()}
+    part = {r["id"]: r["betweenness"] for r in graph.betweenness(edges, sources=some, held=0).collect()}
+    monkeypatch.setattr(graph, "_by_tables", None)
+    assert {r["id"]: r["betweenness"] for r in graph.betweenness(edges).collect()} == pytest.approx(tables)
+    assert {r["id"]: r["betweenness"] for r in graph.betweenness(edges, sources=some).collect()} == pytest.approx(part)
+    assert tables[115] == 15 * 15 and tables[200] == 0
+    near, start, owner = np.r_[1:60, np.zeros(59, int)].astype(np.int32), np.r_[0, 59:119], np.r_[np.zeros(59, int), 1:60].astype(np.int32)
+    monkeypatch.setattr(graph, "_EDGES_AT_ONCE", 7)  # a star, whose sums are made in pieces
+    assert graph._dependencies(near, start, owner, np.arange(60)).tolist() == [59 * 58.0] + [0.0] * 59
