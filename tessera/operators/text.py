@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,21 @@ def token_table(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, F.explode(tx.alnum_tokens(F.col(text))).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def token_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``token_table`` row by row, without a shuffle: where several rows share a document's id, its terms come once a row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch["_t"].value_lengths().fill_null(0).to_numpy()
+            terms = batch["_t"].flatten().dictionary_encode()
+            size = max(1, len(terms.dictionary))
+            pairs, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + terms.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch[doc].take(pa.array(pairs // size)), terms.dictionary.take(pa.array(pairs % size)), pa.array(n)], [doc, "term", "tf"])
+
+    kind = docs.schema[doc].dataType.simpleString()
+    return docs.select(doc, tx.alnum_tokens(F.col(text)).alias("_t")).mapInArrow(count, f"{doc} {kind}, term string, tf long")
+
+
 def tfidf(docs: DataFrame, doc: str, text: str, normalise: bool = False) -> DataFrame:
     """(doc, term, tf, weight): raw counts times ln((n + 1) / (df + 1)) + 1; L2-normalised on request."""
     tokens = token_table(docs, doc, text)

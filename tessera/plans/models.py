@@ -69,7 +69,7 @@ def mahalanobis(spark, sf_dir):
 
 @query()
 def nmf_topics(spark, sf_dir):
-    counts = text.token_table(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("tf", "n")
+    counts = text.token_rows(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("tf", "n")
     return rounded(text.top_terms(models.nmf_topics(counts, "doc_id", 4, terms=None, iters=8), "topic", 10), "weight", digits=4)
 
 

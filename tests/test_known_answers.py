@@ -578,3 +578,9 @@ def test_betweenness_side_by_side_and_by_tables(spark, monkeypatch):
     near, start, owner = np.r_[1:60, np.zeros(59, int)].astype(np.int32), np.r_[0, 59:119], np.r_[np.zeros(59, int), 1:60].astype(np.int32)
     monkeypatch.setattr(graph, "_EDGES_AT_ONCE", 7)  # a star, whose sums are made in pieces
     assert graph._dependencies(near, start, owner, np.arange(60)).tolist() == [59 * 58.0] + [0.0] * 59
+
+
+def test_tokens_row_by_row(spark):
+    docs = spark.createDataFrame([(1, "b a b, B!"), (2, None), (3, ""), (4, "a")], "d long, text string")
+    assert sorted(map(tuple, text.token_rows(docs, "d", "text").collect())) == sorted(map(tuple, text.token_table(docs, "d", "text").collect()))
+    assert text.token_rows(docs.where("d = 2"), "d", "text").collect() == []
