@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,5 +36,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files and checkpoints that nothing refers to any more: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references are let go by a thread of their own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
