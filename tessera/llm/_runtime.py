@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that an Arrow-batched operator works on at once; bounds a Python worker's memory.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
+#: Rows of an Arrow batch of whole rows with their texts. Spark and the Python worker both hold it whole, and the worker its output too.
+BATCH_ROWS, _BATCH_ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def small_batches(spark: SparkSession) -> str:
+    """From now on Arrow batches of the session have at most ``BATCH_ROWS`` rows (fewer where it is set so). Returns the setting before; plans read it when they run."""
+    before = spark.conf.get(_BATCH_ROWS)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    return before
+
+
+def batches_as_before(spark: SparkSession, before: str) -> None:
+    spark.conf.set(_BATCH_ROWS, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of intermediate data, in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -121,10 +124,21 @@ class WordCache(dict):
 _CACHES: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Allocators keep it in gaps between what lives on, so a worker that goes from stage to stage would grow with each."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def cache_for(key, make: Callable[[], WordCache]) -> WordCache:
-    """This worker's cache for a model. Workers go on to other stages, so the caches of other models are let go."""
+    """This worker's cache for a model. Workers go on to other stages, so the caches of other models are let go, and their memory is given back."""
     if key not in _CACHES:
         _CACHES.clear()
+        give_back()
         _CACHES[key] = make()
     return _CACHES[key]
 

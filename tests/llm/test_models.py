@@ -1,13 +1,17 @@
 """Language ID, quality, toxicity and the pipeline: exact parts against brute force, learnt parts by held-out accuracy."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tessera.llm import language_id, quality, queries, toxicity
-from tessera.llm._runtime import held_out, labelled_sample, smallest_by_hash, table
+from tessera.llm._runtime import BATCH_ROWS, held_out, labelled_sample, smallest_by_hash, table
 from tessera.llm._words import WordCache, char_ngrams
 
 from .fixtures import DOCS, docs
@@ -260,3 +264,51 @@ def test_stages_stand_odd_documents(spark, rows):
         d = out
     packed = corpus_pipeline.STAGES[-1][1](spark, d, "/root/testdata/sf0.001").collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in d.collect()}
+
+
+_SWITCH = """
+from tessera.llm import packing
+from tessera.llm._words import WordCache, cache_for
+
+def held():
+    return int(next(line for line in open("/proc/self/status") if line.startswith("RssAnon")).split()[1])
+
+def coder():
+    return cache_for("ids", lambda: packing.TokenIds(packing.tokenizer_path()))
+
+coder().encode(["one two"])
+before = held()
+for k in range(3):
+    coder().encode([" ".join(f"w{(i * 7919 + k) % 1000003:x}x{i % 97}" for i in range(60_000))])
+full = held()
+cache_for("other", lambda: WordCache(len))
+print(before, full, held())
+"""
+
+
+def test_workers_give_memory_back_between_stages():
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    said = subprocess.run([sys.executable, "-c", _SWITCH], capture_output=True, text=True, check=True, cwd=root, env=os.environ | {"PYTHONPATH": root}).stdout
+    before, full, after = map(int, said.split())
+    assert full > before + 40_000
+    assert after < before + (full - before) / 2
+
+
+def test_pipeline_sends_texts_in_small_batches(spark):
+    d = spark.createDataFrame([(i, "some text", "en", "s", 9) for i in range(5_000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    for rows, most in ((before, BATCH_ROWS), ("0", BATCH_ROWS), ("70", 70)):
+        spark.conf.set(setting, rows)
+        try:
+            for name, stage in corpus_pipeline.STAGES:
+                if name != "exact_dedup":
+                    spark.conf.set(setting, rows)
+                    stage(spark, d.limit(0), "/root/testdata/sf0.001")
+                    sent = d.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+                    assert max(r["n"] for r in sent) == most and sum(r["n"] for r in sent) == 5_000
+            spark.conf.set(setting, rows)
+            corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(setting) == rows
+        finally:
+            spark.conf.set(setting, before)
